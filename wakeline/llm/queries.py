@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, media, packing, suffix_dedup, url_filter
+from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, media, packing, suffix_dedup, url_filter
 from .base import table
 
 #: The rules of the URL query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are made of source and id; every 512th document is the licence file of a
+    directory, every 32nd that of a directory below."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    top, sub = F.floor(F.col("doc_id") / 512).cast("string"), F.floor(F.col("doc_id") / 32).cast("string")
+    path = (
+        F.when(F.col("doc_id") % 512 == 0, F.concat_ws("/", "source", top, F.lit("LICENSE")))
+        .when(F.col("doc_id") % 32 == 0, F.concat_ws("/", "source", top, sub, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", "source", top, sub, F.col("doc_id").cast("string")))
+    )
+    return license_scan.scan(docs, path, is_licence_file=path.endswith("/LICENSE"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +72,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_jaccard_join, op4_media_columns, op5_packing, op6_suffix_array_dedup, op7_line_dedup, op8_language_id, op9_url_filters, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_lm_scoring, op2_license_scans, op3_ngram_jaccard_join, op4_media_columns, op5_packing, op6_suffix_array_dedup, op7_line_dedup, op8_language_id, op9_url_filters, op10_benchmark_decontamination)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
