@@ -8,16 +8,45 @@ network for counting; each text moves once, next to its flags.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import cut, widened
+
 #: What is stripped at both ends of a line.
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANKS = b" \t\n\x0b\x0c\r"
+#: Keys with over 1/HEAVY of all lines are joined by broadcast: at most HEAVY of them exist.
+HEAVY = 2000
+
+
+def line_key(line: bytes, min_chars: int) -> bytes | None:
+    """Hash of a line's key, or None if the key has fewer than ``min_chars`` code points."""
+    key = line.strip(BLANKS).lower()  # on bytes, lower() folds A-Z only
+    if len(key) < min_chars or len(key) < 4 * min_chars and len(key.decode("utf-8", "replace")) < min_chars:
+        return None
+    return blake2b(key, digest_size=16).digest()
+
 
+def line_keys(texts: DataFrame, min_chars: int) -> DataFrame:
+    """(_d, _h, _pos, _key) for the lines of texts (_d, _h, _t) whose keys are long enough."""
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, pos, keys = [], [], []
+            for i, t in enumerate(b.column(2)):
+                for p, line in enumerate(t.as_py().split(b"\n")):
+                    if len(line) >= min_chars and (k := line_key(line, min_chars)):
+                        row.append(i)
+                        pos.append(p)
+                        keys.append(k)
+            at = pa.array(row, pa.int32())
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["_d", "_h", "_pos", "_key"])
+
+    return texts.mapInArrow(run, widened(texts.select("_d", "_h"), "_pos int, _key binary"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,33 +59,29 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, doc_id:
     document that sorts before all others.  No rows in, no rows out.  Other
     columns pass through; ones that carry an output name are replaced.
     """
-    # one row per distinct (id, text); ``_h`` stands for the text in joins
     base = docs.drop("kept_text", "n_lines", "n_dropped").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    base = base.withColumn("_h", F.unhex(F.md5("_t")))
-    lines = (
-        base.select(F.col(doc_id).alias("_d"), "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_pos", "_line"))
-        .withColumn("_key", line_key(F.col("_line")))
-        .filter(F.char_length("_key") >= min_chars)
-        .select("_d", "_h", "_pos", F.unhex(F.md5("_key")).alias("_key"))
-    )
-    # one row per document and key, so that a hot key meets as one partial count per task
+    base = base.withColumn("_h", F.xxhash64("_t"))  # tells rows that share an id apart
+    lines = cut(line_keys(base.select(F.col(doc_id).alias("_d"), "_h", F.col("_t").cast("binary")), min_chars), "lines")
+    # one row per document and key first, so that a hot key meets as one partial count per task
     counted = (
         lines.select("_key", "_d").distinct()
         .groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_last"))
         .filter(F.col("_n") >= min_docs)
-    )
-    # lines of keys that stay everywhere need no flag: the join keeps only the rest
+    )
+    counted = cut(counted, "keys")
+    heavy = F.col("_n") > lines.count() // HEAVY
+    hot = F.broadcast(counted.filter(heavy).withColumnsRenamed({"_key": "_hot", "_last": "_hot_last"}).drop("_n"))
+    marked = lines.join(hot, F.col("_key") == F.col("_hot"), "left")
+    gone = F.col("_d").isNull() | (F.col("_d") != F.col("_last"))
     flags = (
-        lines.join(counted, "_key")
-        .filter(F.col("_d").isNull() | (F.col("_d") != F.col("_last")))
-        .groupBy("_d", "_h").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
-    )
-    joined = base.join(
-        flags.withColumnsRenamed({"_d": "_fd", "_h": "_fh"}),
-        F.col(doc_id).eqNullSafe(F.col("_fd")) & (F.col("_h") == F.col("_fh")), "left",
+        marked.filter("_hot is not null").select("_d", "_h", "_pos", F.col("_hot_last").alias("_last"))
+        .union(marked.filter("_hot is null").join(counted.filter(~heavy), "_key").select("_d", "_h", "_pos", "_last"))
+        .filter(gone)
+        .groupBy(F.col("_d").alias("_fd"), F.col("_h").alias("_fh")).agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
     )
-    parts = F.split("_t", "\n", -1)
+    joined = base.join(flags.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_fd")) & (F.col("_h") == F.col("_fh")), "left")
     # reassembly by position: the runs between dropped positions, joined in order
+    parts = F.split("_t", "\n", -1)
     n = F.size(parts)
     drop = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
     bounds = F.concat(F.array(F.lit(-1)), drop, F.array(n))
