@@ -30,6 +30,8 @@ _U = np.uint64
 GRAM = 3
 #: Sampled positions of a key, and keys of one walk.
 BITS, KEYS = 3, 6
+#: Window starts that are embedded at a time.
+WINDOWS = 20_000
 #: Words of benchmark items that are searched for in one pass (about 100 MB of tables).
 BLOCK_WORDS = 1_000_000
 _GRAM_CODE = mix64(np.arange(101, 101 + GRAM, dtype=_U)) | _U(1)
@@ -66,16 +68,14 @@ def walk_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, cl
                 picks.setdefault(int(j), []).append((classes.index(c), k, _U(rng.integers(1, 1 << 63)) | _U(1)))
     out = np.zeros((len(classes), KEYS, len(starts)), _U)
     i = starts.copy()
-    coins = None
     for j in range(max(picks) + 1):
-        if j % 64 == 0:
-            seed = _U((walk * 1_000_003 + j // 64 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            coins = mix64(h ^ seed)
+        seed = _U((walk * 1_000_003 + j // 64 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         inside = i < ends
-        at = np.minimum(i, len(h) - 1)
+        symbol = np.where(inside, h[np.minimum(i, len(h) - 1)], _U(1))
         for c, k, odd in picks.get(j, ()):
-            out[c, k] += np.where(inside, h[at], _U(1)) * odd
-        i = i + np.where(inside, (coins[at] >> _U(j % 64)) & _U(1), _U(0)).astype(np.int64)
+            out[c, k] += symbol * odd
+        coin = (mix64(symbol ^ seed) >> _U(j % 64)) & _U(1)
+        i += (coin.astype(bool) & inside).astype(np.int64)
     salt = mix64(np.arange(len(classes) * KEYS, dtype=_U) + _U(walk) * _U(1000)).reshape(len(classes), KEYS, 1)
     return mix64(out ^ salt)
 
@@ -119,14 +119,14 @@ class Index:
         return hit
 
     def look_up(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) pairs that share a key."""
+        """(number of the start, item) pairs that share a key."""
         found: set[tuple[int, int]] = set()
         for w in range(self.walks):
             keys = walk_keys(h, starts, ends, w, self.classes).reshape(-1, len(starts))
             lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
             for r, s in zip(*np.nonzero(hi > lo), strict=True):
                 for o in self.owners[lo[r, s] : hi[r, s]].tolist():
-                    found.add((int(starts[s]), o))
+                    found.add((int(s), o))
         return found
 
 
@@ -202,40 +202,48 @@ def _search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
         np.cumsum(own, out=hits[1 : len(own) + 1])
         hits[len(own) + 1 :] = hits[len(own)]
         first = np.searchsorted(np.flatnonzero(own), words)
-        rows = np.flatnonzero(np.diff(first) >= fewest)
-        for r in rows.tolist():
+        starts, ends, of_row = [], [], []
+        for r in np.flatnonzero(np.diff(first) >= fewest).tolist():
             a, z = int(words[r]), int(words[r + 1])
             p = np.arange(a, z)
             maybe = np.zeros(z - a, bool)
             for size, need in index.needs:
                 maybe |= hits[np.minimum(p + size, z)] - hits[p] >= need
-            starts = np.flatnonzero(maybe)
-            if not len(starts):
-                continue
-            own_words = h[a:z]
-            spots: dict[int, list[int]] = {}
-            for lo in range(0, len(starts), 20_000):
-                part = starts[lo : lo + 20_000]
-                for s, o in index.look_up(own_words, part, np.full(len(part), z - a)):
-                    spots.setdefault(o, []).append(s)
-            for o, found in sorted(spots.items()):
-                item = index.items[o]
-                m, t = len(item), allowed(len(item))
-                best = None
-                found.sort()
-                lo, reach = found[0] - t, found[0] + m + 2 * t
-                for s in [*found[1:], None]:
-                    if s is not None and s - t <= reach:
-                        reach = s + m + 2 * t
-                        continue
-                    lo = max(0, lo)
-                    d, x, y = infix_distance(item, own_words[lo : min(reach, z - a)])
-                    if d <= t and (best is None or d < best[0]):
-                        best = (d, lo + x, lo + y)
-                    if s is not None:
-                        lo, reach = s - t, s + m + 2 * t
-                if best:
-                    yield at + r, o, *best
+            some = p[maybe]
+            starts.append(some)
+            ends.append(np.full(len(some), z))
+            of_row.append(np.full(len(some), r))
+        if not starts:
+            continue
+        starts, ends, of_row = np.concatenate(starts), np.concatenate(ends), np.concatenate(of_row)
+        spots: dict[tuple[int, int], list[int]] = {}
+        for lo in range(0, len(starts), WINDOWS):
+            part = slice(lo, lo + WINDOWS)
+            for i, o in index.look_up(h, starts[part], ends[part]):
+                spots.setdefault((int(of_row[lo + i]), o), []).append(int(starts[lo + i]))
+        for (r, o), found in sorted(spots.items()):
+            a, z = int(words[r]), int(words[r + 1])
+            best = _verify(index.items[o], h[a:z], [s - a for s in sorted(found)])
+            if best:
+                yield at + r, o, *best
+
+
+def _verify(item: np.ndarray, words: np.ndarray, found: list[int]) -> tuple[int, int, int] | None:
+    """The closest stretch near the starts that LSH found, if it is within the allowed edits."""
+    m, t = len(item), allowed(len(item))
+    best = None
+    lo, reach = found[0] - t, found[0] + m + 2 * t
+    for s in [*found[1:], None]:
+        if s is not None and s - t <= reach:
+            reach = s + m + 2 * t
+            continue
+        lo = max(0, lo)
+        d, x, y = infix_distance(item, words[lo:reach])
+        if d <= t and (best is None or d < best[0]):
+            best = (d, lo + x, lo + y)
+        if s is not None:
+            lo, reach = s - t, s + m + 2 * t
+    return best
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_words: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
