@@ -16,6 +16,7 @@ background's.  Counts cover every document:
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ _U = np.uint64
 VOCABULARY = 65_536
 START = VOCABULARY - 1
 #: Bigrams whose counts are broadcast (12 bytes each).
-HOT = 1 << 19
+HOT = 1 << 18
+#: Documents of one block of postings.
+BLOCK = 2000
 FLUSH, FRAGMENT = 2_000_000, 4_000_000
 _MIX, _UNMIX = 2654435769, pow(2654435769, -1, 1 << 32)
 
@@ -72,20 +75,20 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(d, h, ids): each text as little-endian 16-bit word numbers."""
+    """(d, ids): each text as little-endian 16-bit word numbers."""
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
         for b in batches:
-            for at, data, offs in slices(b.column(2)):
+            for at, data, offs in slices(b.column(1)):
                 h, rows = word_hashes(data, offs)
                 pos = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
                 ids = np.where(words[pos] == h, pos + 1, 0).astype(np.uint16) if len(words) else np.zeros(len(h), np.uint16)
                 n = len(offs) - 1
-                yield pa.record_batch([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array([ids[rows[i] : rows[i + 1]].tobytes() for i in range(n)], pa.binary())], names=["d", "h", "ids"])
+                yield pa.record_batch([b.column(0).slice(at, n), pa.array([ids[rows[i] : rows[i + 1]].tobytes() for i in range(n)], pa.binary())], names=["d", "ids"])
 
-    return docs.select("d", "h", "text").mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, h long, ids binary")
+    return docs.select("d", "text").mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, ids binary")
 
 
 def _bigrams(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +180,15 @@ def _bigram_counts(numbered: DataFrame, parts: int) -> DataFrame:
     return numbered.select("ids", "target").mapInArrow(run, "frag int, k binary, c binary").groupBy("frag").applyInArrow(add, "key long, b long, t long, c long")
 
 
-_LOSS = "d {d}, h long, bg double, tg double, n long"
+_SENT = "block long, frag int, docs binary, n binary, k binary, rows binary, c binary, bg binary, tg binary"
+_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+
+
+def _rows(**columns: list) -> pa.RecordBatch:
+    """Rows of ``_SENT``; columns that are left out are null."""
+    n = len(next(iter(columns.values())))
+    types = {"block": pa.int64(), "frag": pa.int32()}
+    return pa.record_batch([pa.array(columns.get(x, [None] * n), types.get(x, pa.binary())) for x in _NAMES], names=_NAMES)
 
 
 def _to_bytes(rows: pa.RecordBatch) -> bytes:
@@ -187,70 +198,77 @@ def _to_bytes(rows: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _score_hot(numbered: DataFrame, unigrams, hot, parts: int, id_type: str) -> DataFrame:
-    """Losses of the broadcast bigrams per document, and postings of all others by fragment."""
-    ddl = f"{_LOSS.format(d=id_type)}, frag int, k binary, rows binary, c binary, ids binary, target binary"
-    names = [x.split()[0] for x in ddl.split(", ")]
+def _score_hot(numbered: DataFrame, unigrams, hot, parts: int) -> DataFrame:
+    """Per block of documents: a row with its losses from the broadcast bigrams, and rows with the
+    postings (key, document in the block and whether it is a target, count) of all others by fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = hot.value
-        kind = None
         for b in batches:
-            kind = kind or b.column(0).type
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
                 m = part.num_rows
-                target = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                key, row = _bigrams(part.column(2).to_pylist())
+                target = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                key, row = _bigrams(part.column(1).to_pylist())
                 pair, c = np.unique(key.astype(_U) << _U(32) | row.astype(_U), return_counts=True)
                 k, r = (pair >> _U(32)).astype(np.uint32), (pair & _U(0xFFFFFFFF)).astype(np.int64)
                 pos = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
                 known = keys[pos] == k if len(keys) else np.zeros(len(k), bool)
                 loss = unigrams.value.losses(k[known], counts[:, pos[known]], c[known], target[r[known]]) * c[known]
-                sums = [np.bincount(r[known], loss[i], minlength=m) for i in (0, 1)]
-                n = np.bincount(row, minlength=m)
-                blank = [pa.nulls(m, pa.binary())] * 5
-                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(x.astype(np.float64)) for x in sums), pa.array(n), pa.nulls(m, pa.int32()), *blank], names=names)
-                k, r, c = k[~known], r[~known].astype(np.uint32), c[~known]
+                sums = [np.bincount(r[known], loss[i], minlength=m).astype(np.float64) for i in (0, 1)]
+                block = int.from_bytes(os.urandom(8), "big", signed=True)  # kept: the rows are written before they are used
+                yield _rows(block=[block], docs=[_to_bytes(part.select(["d"]))], n=[np.bincount(row, minlength=m).astype(np.int64).tobytes()], bg=[sums[0].tobytes()], tg=[sums[1].tobytes()])
+                k, r, c = k[~known], r[~known], c[~known]
+                marked = (r | target[r].astype(np.int64) << 15).astype(np.uint16)
                 edge = np.searchsorted(_fragment_of(k, parts), np.arange(parts + 1, dtype=_U))
-                ids = part.column(0)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for f in range(parts):
-                    kf, rf = k[edge[f] : edge[f + 1]], r[edge[f] : edge[f + 1]]
-                    if len(kf):
-                        used, local = np.unique(rf, return_inverse=True)
-                        who = pa.record_batch([ids.take(pa.array(used)), part.column(1).take(pa.array(used))], names=["d", "h"])
-                        for col, v in zip(out, (f, kf.tobytes(), local.astype(np.uint16).tobytes(), c[edge[f] : edge[f + 1]].astype(np.uint32).tobytes(), _to_bytes(who), target[used].tobytes()), strict=True):
-                            col.append(v)
-                w = len(out[0])
-                yield pa.record_batch([pa.nulls(w, kind), pa.nulls(w, pa.int64()), pa.nulls(w, pa.float64()), pa.nulls(w, pa.float64()), pa.nulls(w, pa.int64()), pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=names)
+                at = [f for f in range(parts) if edge[f + 1] > edge[f]]
+                cut_up = [[x[edge[f] : edge[f + 1]].tobytes() for f in at] for x in (k, marked, c.astype(np.uint32))]
+                yield _rows(block=[block] * len(at), frag=at, k=cut_up[0], rows=cut_up[1], c=cut_up[2])
 
-    return numbered.select("d", "h", "ids", "target").mapInArrow(run, ddl)
+    return numbered.select("d", "ids", "target").mapInArrow(run, _SENT)
 
 
 def _score_rest(unigrams):
+    """Partial losses of the documents of each block from the bigrams of one fragment."""
+
     def run(t: pa.Table) -> pa.Table:
-        ks, rows, cs, who, flags, base = [], [], [], [], [], 0
-        for k, r, c, ids, f in zip(*(t.column(x).to_pylist() for x in ("k", "rows", "c", "ids", "target")), strict=True):
-            own = pa.ipc.open_stream(ids).read_all()
-            ks.append(np.frombuffer(k, np.uint32))
-            rows.append(np.frombuffer(r, np.uint16).astype(np.int64) + base)
-            cs.append(np.frombuffer(c, np.uint32))
-            who.append(own)
-            flags.append(np.frombuffer(f, np.uint8))
-            base += own.num_rows
-        k, row, c, flag = (np.concatenate(x) for x in (ks, rows, cs, flags))
+        ks, rows, cs = ([np.frombuffer(x, kind) for x in t.column(name).to_pylist()] for name, kind in (("k", np.uint32), ("rows", np.uint16), ("c", np.uint32)))
+        k, marked, c = np.concatenate(ks), np.concatenate(rows), np.concatenate(cs).astype(np.int64)
+        target = marked >= 1 << 15
         key, which = np.unique(k, return_inverse=True)
-        target = flag[row].astype(bool)
         counts = np.stack([np.bincount(which[m], c[m], minlength=len(key)) for m in (~target, target)])
-        loss = unigrams.value.losses(k, counts[:, which], c.astype(np.int64), target) * c
-        docs = pa.concat_tables(who)
-        sums = [np.bincount(row, loss[i], minlength=base) for i in (0, 1)]
-        return docs.append_column("bg", pa.array(sums[0].astype(np.float64))).append_column("tg", pa.array(sums[1].astype(np.float64))).append_column("n", pa.array(np.zeros(base, np.int64)))
+        loss = unigrams.value.losses(k, counts[:, which], c, target) * c
+        out: tuple[list, list, list] = ([], [], [])
+        at = 0
+        for own in rows:
+            used, local = np.unique(own & 0x7FFF, return_inverse=True)
+            part = loss[:, at : at + len(own)]
+            for col, v in zip(out, (used.astype(np.uint16), np.bincount(local, part[0]), np.bincount(local, part[1])), strict=True):
+                col.append(v.tobytes())
+            at += len(own)
+        return pa.Table.from_batches([_rows(block=t.column("block").to_pylist(), rows=out[0], bg=out[1], tg=out[2])])
 
     return run
 
 
+def _add_up(id_type: str):
+    """The documents of one block with the sums of their losses."""
+
+    def run(t: pa.Table) -> pa.Table:
+        docs, n, sums = None, None, None
+        rows = list(zip(*(t.column(x).to_pylist() for x in ("docs", "n", "rows", "bg", "tg")), strict=True))
+        for ids, sizes, _, bg, tg in rows:
+            if ids is not None:
+                docs, n = pa.ipc.open_stream(ids).read_all(), np.frombuffer(sizes, np.int64)
+                sums = np.stack([np.frombuffer(bg), np.frombuffer(tg)]).copy()
+        for ids, _, used, bg, tg in rows:
+            if ids is None:
+                sums[:, np.frombuffer(used, np.uint16)] += np.stack([np.frombuffer(bg), np.frombuffer(tg)])
+        return pa.table([docs.column("d"), pa.array(sums[0]), pa.array(sums[1]), pa.array(n)], names=["d", "bg", "tg", "n"])
+
+    return run, f"d {id_type}, bg double, tg double, n long"
+
+
 def score(docs: DataFrame, target_ids: DataFrame, weight: float = 0.7, doc_id: str = "doc_id", text: str = "text", target_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_tokens, loss_target, loss_background, score.
 
@@ -265,28 +283,21 @@ def score(docs: DataFrame, target_ids: DataFrame, weight: float = 0.7, doc_id: s
     """
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType.simpleString()
-    base = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("text"))
     totals = cut(_word_counts(base), "words")
-    words = np.sort(np.array([r["w"] for r in most_frequent(totals, "c", VOCABULARY - 2).select("w").collect()], np.int64).view(_U))
-    # fmt: off
+    words = np.sort(most_frequent(totals, "c", VOCABULARY - 2).select("w").toArrow().column("w").to_numpy().view(_U))
     named = target_ids.select(F.col(target_id).alias("_t")).filter("_t is not null").distinct()
-    plain = _numbered(base, words)
-    numbered = cut(plain.join(small_side(named, 16), F.col("d") == F.col("_t"), "left").select("d", "h", "ids", F.col("_t").isNotNull().alias("target")), "numbered")
-    unigrams = spark.sparkContext.broadcast(Unigrams([tuple(r) for r in _unigrams(numbered).collect()], weight))
+    marked = _numbered(base, words).join(small_side(named, 16), F.col("d") == F.col("_t"), "left")
+    numbered = cut(marked.select("d", "ids", F.col("_t").isNotNull().alias("target")), "numbered")
+    unigrams = spark.sparkContext.broadcast(Unigrams([tuple(r) for r in zip(*(c.to_pylist() for c in _unigrams(numbered).toArrow().columns), strict=True)], weight))
     tokens = numbered.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"] // 2
     parts = max(1, -(-tokens // FRAGMENT))
     counts = cut(_bigram_counts(numbered, parts), "bigrams")
-    top = most_frequent(counts, "c", HOT).select("key", "b", "t").toPandas().sort_values("key")
-    hot = spark.sparkContext.broadcast((top["key"].to_numpy(np.uint32), np.stack([top["b"].to_numpy(np.int64), top["t"].to_numpy(np.int64)]).astype(np.float64)))
-    sent = cut(_score_hot(numbered, unigrams, hot, parts, id_type), "postings")
-    rest = sent.filter("frag is not null").select("frag", "k", "rows", "c", "ids", "target").groupBy("frag").applyInArrow(_score_rest(unigrams), _LOSS.format(d=id_type))
-    both = sent.filter("frag is null").select("d", "h", "bg", "tg", "n").union(rest)
-    sums = both.groupBy("d", "h").agg(F.sum("bg").alias("bg"), F.sum("tg").alias("tg"), F.sum("n").alias("n"))
-    copies = numbered.groupBy("d", "h").agg(F.count(F.lit(1)).alias("copies"))
-    out = sums.join(copies, sums["d"].eqNullSafe(copies["d"]) & (sums["h"] == copies["h"])).select(sums["d"], "bg", "tg", "n", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_i"), "copies")
-    some = F.col("n") > 0
-    target, background = (F.round(F.when(some, F.col(c) / F.col("n")), 9) for c in ("tg", "bg"))
-    return out.select(
-        F.col("d").alias("doc_id"), (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"),
-        target.alias("loss_target"), background.alias("loss_background"), F.round(target - background, 9).alias("score"),
-    )
+    top = most_frequent(counts, "c", HOT).select("key", "b", "t").toArrow().sort_by("key")
+    hot = spark.sparkContext.broadcast((top.column("key").to_numpy().astype(np.uint32), np.stack([top.column(x).to_numpy().astype(np.float64) for x in ("b", "t")])))
+    sent = cut(_score_hot(numbered, unigrams, hot, parts), "postings")
+    rest = sent.filter("frag is not null").groupBy("frag").applyInArrow(_score_rest(unigrams), _SENT)
+    added, ddl = _add_up(id_type)
+    sums = sent.filter("frag is null").union(rest).groupBy("block").applyInArrow(added, ddl)
+    target, background = (F.round(F.when(F.col("n") > 0, F.col(c) / F.col("n")), 9) for c in ("tg", "bg"))
+    return sums.select(F.col("d").alias("doc_id"), F.col("n").alias("n_tokens"), target.alias("loss_target"), background.alias("loss_background"), F.round(target - background, 9).alias("score"))
