@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import classify as C
+from .functions import code as code_fn
+from .functions import prompts as prompt_fn
 from .operators import attribution as A
 from .operators import folds
 from .operators import intervals as I
@@ -16,6 +18,7 @@ from .plans import concurrency as K
 from .plans import lineage as L
 from .plans import metrics as M
 from .plans import prefix as P
+from .plans import quality as T
 from .plans import replay as R
 from .sources.tables import FS_SQL, LLM_SQL, TOOLS_SQL, fs_entries, llm_calls, table, tool_calls
 
@@ -1066,3 +1069,81 @@ def topk(spark, d):
 def window_functions(spark, d):
     by = Window.partitionBy("o_custkey")
     return table(spark, d, "orders").select("o_orderkey", "o_custkey", F.rank().over(by.orderBy(F.desc("o_totalprice"))).alias("r"), F.round(F.sum("o_totalprice").over(by.orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
+
+
+# ---- quality, charts, code, prompts -------------------------------------------------------------------------------
+
+
+@query(fs_sql("SELECT run_id, count(*) AS events, 1.0::DOUBLE AS attributed, 1.0::DOUBLE AS with_path, 1.0::DOUBLE AS with_offset FROM fs GROUP BY run_id"))
+def trace_quality(spark, d):
+    return T.quality_report(fs_entries(spark, d))
+
+
+@query(fs_sql("""
+SELECT run_id, kind, bin, 5.0::DOUBLE AS width_s, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT *, CAST(floor((ts_ms / 1000 - min(ts_ms / 1000) OVER (PARTITION BY run_id)) / 5.0::DOUBLE) AS BIGINT) AS bin FROM ops) GROUP BY ALL"""))
+def io_rate(spark, d):
+    return T.io_rate(fs_entries(spark, d))
+
+
+@query(fs_sql("""
+SELECT run_id, CAST(least(12, floor(log10(r + w))) AS INTEGER) AS decade, least(opens, 10) AS opens, count(*) AS files FROM (SELECT run_id, path, sum(bytes_transferred)::DOUBLE AS r, 0 AS w, count(*) FILTER (syscall = 'openat') AS opens FROM fs GROUP BY ALL) WHERE r > 0 GROUP BY ALL"""))
+def volume_opens(spark, d):
+    return T.volume_opens_histogram(M.file_volume(fs_entries(spark, d)))
+
+
+@query("SELECT DISTINCT p_brand AS axis, p_size AS size, round(cume_dist() OVER (PARTITION BY p_brand ORDER BY p_size), 6) AS share FROM part")
+def input_size_ecdf(spark, d):
+    return T.input_size_ecdf(table(spark, d, "part").select(F.col("p_brand").alias("axis"), F.col("p_size").alias("size")))
+
+
+@query("""
+SELECT series, cell, u AS unique_bytes, r AS read_bytes, round(u / first_value(u) OVER w, 6) AS unique_bytes_rel, round(r / first_value(r) OVER w, 6) AS read_bytes_rel FROM (
+SELECT s_nationkey AS series, s_suppkey AS cell, s_suppkey * 3 + 1 AS u, s_suppkey * 7 + 2 AS r FROM supplier) WINDOW w AS (PARTITION BY series ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def scaling_series(spark, d):
+    s = F.col("s_suppkey")
+    return T.scaling_series(table(spark, d, "supplier").select(F.col("s_nationkey").alias("series"), s.alias("cell"), (s * 3 + 1).alias("unique_bytes"), (s * 7 + 2).alias("read_bytes")))
+
+
+@query("""
+SELECT event_type AS run_id, count(*) AS calls, count(*) FILTER (value < 5) AS failed, round(count(*) FILTER (value < 5) / count(*), 6) AS rate, round(count(*) FILTER (value < 5) / count(*), 6) <= 0.1 AS ok FROM events GROUP BY ALL""")
+def llm_health(spark, d):
+    ev = table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.lit("message_end").alias("type"), (F.col("value") < 5).alias("has_error_key"))
+    return T.llm_health(ev)
+
+
+SNIPPETS = [
+    "import pandas as pd\npd.read_csv('a.csv')", "import h5py\nf = h5py.File('x.h5', 'w')", "import os\nos.system('grep a b > c')", "x = 1 + 2", "def broken(:\n  pd.read_csv('a')",
+    "import json\nwith open('f') as fh:\n    json.load(fh)", "from anndata import read_h5ad as r\nr('x')", "import subprocess as sp\nsp.run(['cat', 'f'])",
+]
+
+
+@query("SELECT CASE p_partkey % 8 WHEN 0 THEN 'stdio' WHEN 1 THEN 'structured' WHEN 2 THEN 'posix_raw' WHEN 3 THEN '' WHEN 4 THEN 'stdio' WHEN 5 THEN 'stdio' WHEN 6 THEN 'structured' ELSE 'posix_raw' END AS combo, count(*) AS n FROM part GROUP BY ALL")
+def code_layers(spark, d):
+    code = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return code_fn.layer_rollup(code_fn.classify(table(spark, d, "part").select("p_partkey", code.alias("code"))))
+
+
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    conv = table(spark, d, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
+    one = F.struct("role", F.col("text").alias("content"))
+    return conv.select((F.col("conv_id") % 10).cast("int").alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("call"), F.collect_list(one).over(order).alias("messages"))
+
+
+@query("""
+SELECT run_id, CASE role WHEN 'user' THEN 'document text' WHEN 'assistant' THEN 'history dialog' WHEN 'system' THEN 'system message' ELSE 'raw data' END AS tag, count(*) AS n, CAST(sum(length(role) + length(text) + 6) AS BIGINT) AS chars FROM (
+SELECT CAST(a.conv_id % 10 AS INTEGER) AS run_id, b.role, b.text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND (b.turn, b.text) <= (a.turn, a.text)) GROUP BY ALL""")
+def content_sections(spark, d):
+    prompts = _prompts(spark, d)
+    parts = prompt_fn.prompt_sections(prompts, prompt_fn.choose_grammar(prompts))
+    return parts.groupBy("run_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+@query()
+def content_breakdown(spark, d):
+    from .sources.traces import serialize
+
+    prompts = _prompts(spark, d).withColumn("prompt", serialize(F.col("messages")))
+    parts = prompt_fn.with_token_ranges(prompts, prompt_fn.prompt_sections(prompts, prompt_fn.ROLE_ONLY))
+    whole = prompts.select("run_id", "call", F.lit(0).alias("seg"), F.lit(0).alias("a"), F.size(P.whitespace_tokens(F.col("prompt"))).alias("z"))
+    return prompt_fn.content_breakdown(prompt_fn.overlap_by_tag(whole, parts))

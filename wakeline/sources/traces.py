@@ -29,9 +29,9 @@ def _located(df: DataFrame) -> DataFrame:
     return df.select("*", F.regexp_extract(file, _CELL, 1).alias("run"), F.regexp_extract(file, _CELL, 2).alias("cell"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("pos"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     df = _located(spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return df.filter("_corrupt_record is null").drop("_corrupt_record") if "_corrupt_record" in schema.names else df
+    return df.filter("_corrupt_record is null").drop("_corrupt_record") if "_corrupt_record" in schema else df
 
 
 def read_events(spark: SparkSession, path: str, window_ns: int = 1_000_000_000) -> DataFrame:
@@ -53,7 +53,7 @@ def read_event_meta(spark: SparkSession, path: str) -> DataFrame:
 TOOL_LINE = r"^\[(\d{2}:\d{2}:\d{2}(?:\.\d+)?)(?:\s*->\s*(\d{2}:\d{2}:\d{2}(?:\.\d+)?))?\]\s*(?:\(([\d.]+)\s*ms\)\s*)?(\S+)\s*\(id=([^)]*)\)\s*input=(.*)$"
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def literal_json(text: str | None) -> str | None:
     """A Python literal as JSON; anything else as {"raw": text}."""
     if text is None:
@@ -135,7 +135,7 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fs_entries(spark: SparkSession, path: str) -> DataFrame:
     """The fact table inside parsed trace files (one JSON document each)."""
-    doc = T.StructType([T.StructField("fs_entries", T.ArrayType(schemas.FS_ENTRIES))])
+    doc = T.StructType([T.StructField("fs_entries", T.ArrayType(T.StructType.fromDDL(schemas.FS_ENTRIES)))])
     return _located(spark.read.schema(doc).option("multiLine", True).json(path)).select("run", "cell", F.explode("fs_entries").alias("x")).select("run", "cell", "x.*")
 
 
