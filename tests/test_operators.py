@@ -240,3 +240,28 @@ def test_empty_inputs(spark):
     fs = spark.createDataFrame([], "run_id int, event_id long, pid int, tid int, ts_ms double, dur_s double, syscall string, path string, bytes_transferred long, requested_size long, return_value long, fd int, open_generation int, offset long, append boolean, resource_bucket string, tool_call string, phase string, role string")
     for f in (metrics.bytes_ops_by_phase, metrics.sequentiality, metrics.mergeability, metrics.bursts, metrics.inter_arrival, lineage.artifacts, lineage.write_read_gaps, metrics.effective_bandwidth):
         assert f(fs).count() == 0
+
+
+def test_report_edge(spark, tmp_path):
+    from wakeline.plans import report
+
+    ev = spark.createDataFrame([(1, "t", None, "tool", 0.0, 9.0), (1, "a", "t", "llm", 1.0, 3.0), (1, "b", "t", "llm", 4.0, 8.0)], "run_id int, id string, parent string, kind string, s double, e double")
+    assert report.call_tree(ev, 1).splitlines() == ["t [tool] 0.009 s", "  a [llm] 0.002 s", "  b [llm] 0.004 s"]
+    dot = report.call_dot(ev, concurrency.sequence_edges(ev), 1)
+    assert '"t" -> "a";' in dot and '"a" -> "b" [style=dashed];' in dot
+    assert rows(concurrency.max_leaf_width(ev)) == [(1, 1)]
+    assert "| run_id |" in report.markdown(ev.select("run_id").limit(1))
+    report.write(ev, str(tmp_path / "out"), "json")
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    times = report.run_stages(spark, [("b", ["a"], lambda d: d["a"].filter("id > 0")), ("a", [], lambda d: spark.range(3))], str(tmp_path / "stages"))
+    assert [r["stage"] for r in times.collect()] == ["a", "b"] and spark.read.parquet(str(tmp_path / "stages/b")).count() == 2
+    with pytest.raises(ValueError, match="wait for each other"):
+        report.run_stages(spark, [("a", ["a"], lambda d: d["a"])], str(tmp_path / "x"))
+    assert report.path_config(None, [], ["/m"], ["/d"]) == ["/m"] and report.path_config(["/e"], ["/s"], None, []) == ["/e"]
+    seen = spark.createDataFrame([(0, 5), (None, 5), (None, None)], "r int, c int").select(report.cached_tokens(F.col("r"), F.col("c")).alias("x")).collect()
+    assert [tuple(r["x"]) for r in seen] == [(0, True, "response"), (5, True, "counter"), (None, False, None)]
+    hit = spark.createDataFrame([(10, 4, 10), (12, 4, 10)], "q int, h int, p int").select(report.cache_hit(F.col("q"), F.col("h"), F.col("p")))
+    assert [r[0] for r in hit.collect()] == [4, None]
+    one = spark.createDataFrame([(1, "x", "r", None, None)], "run_id int, id string, role string, phase string, io_layers array<string>")
+    two = spark.createDataFrame([(1, "x", None, "p", ["stdio"])], "run_id int, id string, role string, phase string, io_layers array<string>")
+    assert rows(report.code_index(one, one, two)) == [(1, "x", "r", "p", ["stdio"])]

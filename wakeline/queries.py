@@ -20,6 +20,7 @@ from .plans import metrics as M
 from .plans import prefix as P
 from .plans import quality as T
 from .plans import replay as R
+from .plans import report as X
 from .sources.tables import FS_SQL, LLM_SQL, TOOLS_SQL, fs_entries, llm_calls, table, tool_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1147,3 +1148,74 @@ def content_breakdown(spark, d):
     parts = prompt_fn.with_token_ranges(prompts, prompt_fn.prompt_sections(prompts, prompt_fn.ROLE_ONLY))
     whole = prompts.select("run_id", "call", F.lit(0).alias("seg"), F.lit(0).alias("a"), F.size(P.whitespace_tokens(F.col("prompt"))).alias("z"))
     return prompt_fn.content_breakdown(prompt_fn.overlap_by_tag(whole, parts))
+
+
+# ---- report tables ------------------------------------------------------------------------------------------------
+
+
+@query(sql(FS_SQL, union_sql("SELECT run_id, category, ts_ms - greatest(0.0, dur_s * 1000) AS s, ts_ms AS e FROM fs", "run_id, category"), body="SELECT run_id, category, round(sum(e - s) / 1000, 3) AS seconds FROM blk GROUP BY ALL"))
+def category_seconds(spark, d):
+    return X.category_seconds(fs_entries(spark, d))
+
+
+@query(sql(LLM_SQL, union_sql("SELECT run_id, s, e FROM llm", "run_id"), body="""
+SELECT run_id, round(100 * (sp - l) / sp, 3) AS residue_pct, round(100 * (sp - l) / sp, 3) > 5 AS warn FROM (SELECT run_id, max(e) - min(s) AS sp FROM llm GROUP BY run_id) JOIN (SELECT run_id, sum(e - s) AS l FROM blk GROUP BY run_id) USING (run_id)"""))
+def residue(spark, d):
+    return X.residue(llm_calls(spark, d))
+
+
+@query(llm_sql("""SELECT run_id, call, round(s - min(s) OVER (PARTITION BY run_id), 6) AS offset_ms, "input", "output", true AS complete, true AS all_complete FROM llm"""))
+def replay_bundle(spark, d):
+    return X.bundle(llm_calls(spark, d))
+
+
+@query(llm_sql("""
+SELECT run_id, id, s, coalesce(e0, greatest(s, max(s) OVER (PARTITION BY run_id))) AS e, e0 IS NULL AS open FROM (SELECT run_id, 'c' || call AS id, s, CASE WHEN call % 5 <> 0 THEN e END AS e0 FROM llm)"""))
+def chart_segments(spark, d):
+    llm = llm_calls(spark, d).withColumn("id", F.concat(F.lit("c"), F.col("call").cast("string")))
+    starts = llm.select("run_id", "id", F.lit("start").alias("type"), F.col("s").alias("t"))
+    return X.open_segments(starts.unionByName(llm.filter("call % 5 <> 0").select("run_id", "id", F.lit("end").alias("type"), F.col("e").alias("t"))))
+
+
+@query(tok_sql(f"""
+SELECT run_id, n_calls, CAST(rank AS INTEGER) AS rank, tokens, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY run_id, n_calls ORDER BY tokens DESC, "offset", calls) AS rank FROM (
+SELECT run_id, array_to_string(calls, ',') AS calls, CAST(len(calls) AS BIGINT) AS n_calls, tokens, start AS "offset" FROM ({SEG}))) WHERE rank <= 3"""))
+def segment_samples(spark, d):
+    return X.segment_samples(P.segments(P.trie(_calls(spark, d))))
+
+
+@query(tok_sql(f"""
+SELECT run_id, calls, "input", "output", logical_share, realized, round(realized / "input", 6) AS realized_share, round(logical_share - realized / "input", 6) AS gap FROM
+(SELECT run_id, count(*) AS calls, CAST(sum("input") AS BIGINT) AS "input", CAST(sum("output") AS BIGINT) AS "output" FROM llm GROUP BY run_id)
+LEFT JOIN (SELECT t.run_id, round(sum(coalesce(m.matched, 0))::DOUBLE / sum(len(t.t)), 6) AS logical_share FROM tok t LEFT JOIN ({MATCH}) m USING (run_id, call) GROUP BY t.run_id) USING (run_id)
+LEFT JOIN (SELECT x.run_id, CAST(sum(CAST(trunc(greatest(0.0, least(t.cache_read * len(t.t) / t."input" - x.start, x.tokens))) AS BIGINT)) AS BIGINT) AS realized FROM (SELECT run_id, tokens, start, unnest(calls[2:]) AS call FROM ({SEG})) x JOIN tok t USING (run_id, call) GROUP BY x.run_id) USING (run_id)"""))
+def run_report(spark, d):
+    calls = _calls(spark, d)
+    nodes = P.trie(calls)
+    return X.run_row(K.llm_usage(calls), P.reuse_by_run(P.logical_reuse(nodes, calls)), P.realized(nodes, calls))
+
+
+@query(sql(FS_SQL, DATA_SQL, union_sql("SELECT run_id, s, e FROM ops WHERE bytes > 0", "run_id"), body="""
+SELECT run_id, round(io / 1000, 3) AS io_s, round((w - l) / 1000, 3) AS non_llm_s, round(io / (w - l), 6) AS share FROM (SELECT run_id, sum(e - s) AS io FROM blk GROUP BY run_id) JOIN (SELECT run_id, max(ts_ms) - min(ts_ms) AS w FROM fs GROUP BY run_id) USING (run_id)
+JOIN (SELECT run_id, sum(l) AS l FROM (SELECT run_id, e - s AS l FROM (SELECT DISTINCT run_id, step, 1704067200000.0::DOUBLE + step * 21600000 AS s, 1704067200000.0::DOUBLE + step * 21600000 + 3600000 AS e FROM fs WHERE step % 5 = 4)) GROUP BY run_id) USING (run_id)"""))
+def fs_time_outside_llm(spark, d):
+    fs = fs_entries(spark, d)
+    start = 1704067200000.0 + F.col("step") * 21600000
+    llm = fs.filter("step % 5 = 4").select("run_id", start.alias("s"), (start + 3600000).alias("e")).distinct()
+    return M.fs_time_outside_llm(fs, llm).select("run_id", F.round("io_s", 3).alias("io_s"), F.round("non_llm_s", 3).alias("non_llm_s"), "share")
+
+
+@query(tools_sql("SELECT run_id, min(s) AS ws, max(e) AS we, round((max(e) - min(s)) / 1000, 6) AS wall_s FROM tools GROUP BY run_id"))
+def run_timeline(spark, d):
+    return M.timeline(tool_calls(spark, d), fs_entries(spark, d))
+
+
+@query(tools_sql("SELECT run_id, round_even((1704067200000 - s) / 1800000, 0) * 1800000 AS offset_ms FROM (SELECT run_id, arg_min(s, step) AS s FROM tools GROUP BY run_id)"))
+def clock_offsets(spark, d):
+    tools = tool_calls(spark, d).withColumn("pos", F.col("step"))
+    return X.tz_offset(tools.groupBy("run_id").agg(F.lit(1704067200000.0).alias("ws")), tools)
+
+
+@query()
+def max_leaf_width(spark, d):
+    return K.max_leaf_width(K.containment_parents(_events(llm_calls(spark, d)), 60_000.0))
