@@ -20,16 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut, small_side, widened
 from .tokens import mix64, prefix_hash, slices, span_hash
 
 _U = np.uint64
-FLUSH, FRAGMENT = 400_000, 1_000_000
+FLUSH, FRAGMENT = 200_000, 250_000
 #: Bytes of contexts meant for one suffix array.
-ARRAY_BYTES = 4_000_000
+ARRAY_BYTES = 1_000_000
+#: Anchors with more different contexts than this are compared window by window instead of
+#: in one suffix array, so that no anchor fills a task.
+CROWD = 20_000
+_CROWDED = 1 << 62
 
 
 # ---- suffix arrays -------------------------------------------------------------------------
@@ -164,7 +168,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     last = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]
     a = pick[new]
     c = mix64(span_hash(sums, first, last + length) ^ ((last - first).astype(_U) << _U(56)))
-    return row[first], g[a], c, first, last, a
+    # anchors are minima, so their hashes are small: another hash spreads them over the fragments
+    return row[first], mix64(g[a] ^ _U(0xA0761D6478BD642F)), c, first, last, a
 
 
 _ANCHORS = "frag int, n long, g binary, c binary, rows binary, lo binary, hi binary, a binary, ids binary"
@@ -301,35 +306,102 @@ def _settle(length: int):
         same[1:] = g[o][1:] == g[o][:-1]
         several = same.copy()
         several[:-1] |= same[1:]
-        o = o[several]
-        out = _per_row(d, h, spans, (row[o], g[o], lo[o], hi[o]))
+        o, same = o[several], same[several]
+        sizes = np.diff(np.append(np.flatnonzero(~same), len(o)))
+        crowded = np.repeat(sizes > CROWD, sizes)
+        out = _per_row(d, h, spans, (row[o], g[o], np.where(crowded, lo[o] | _CROWDED, lo[o]), hi[o]))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["d", "h", "spans", "asks"])
 
     return run
 
 
+_CONTEXTS = "frag int, d long, h long, lo long, ctx binary, windows binary"
+
+
 def _fetch(length: int, parts: int):
-    """The contexts that a row was asked for, dealt by anchor."""
+    """The contexts that a row was asked for, dealt by anchor; those of crowded anchors as
+    window hashes, dealt by hash, of which a task settles repeats before it sends."""
+
+    def windows(held: list[np.ndarray], out: tuple[list, ...]) -> None:
+        w = np.concatenate(held)  # hash, d, h, position
+        w = w[np.lexsort((w[:, 3], w[:, 2].view(np.int64), w[:, 1].view(np.int64), w[:, 0]))]
+        w = w[np.append(True, (w[1:] != w[:-1]).any(axis=1))]  # repeated rows of the input
+        again = np.zeros(len(w), bool)
+        again[1:] = w[1:, 0] == w[:-1, 0]
+        for d, h, p in w[again][:, 1:].view(np.int64).tolist():
+            for col, v in zip(out, (-1, d, h, p, None, None), strict=True):
+                col.append(v)
+        w = w[~again]
+        frag = ((w[:, 0] >> _U(32)) * _U(parts)) >> _U(32)
+        edge = np.searchsorted(frag, np.arange(parts + 1, dtype=_U))
+        for f in range(parts):
+            if edge[f + 1] > edge[f]:
+                for col, v in zip(out, (f, None, None, None, None, w[edge[f] : edge[f + 1]].tobytes()), strict=True):
+                    col.append(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for d, h, t, asks in zip(*(b.column(i) for i in range(4)), strict=True):
-                raw = t.as_py() or b""
-                calls = np.concatenate([np.frombuffer(x, _U).reshape(-1, 3) for x in asks.as_py() if x])
+            for row in range(b.num_rows):
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                d, h, raw = b.column(0)[row].as_py(), b.column(1)[row].as_py(), b.column(2)[row].as_py() or b""
+                calls = np.concatenate([np.frombuffer(x, _U).reshape(-1, 3) for x in b.column(3)[row].as_py() if x])
                 frag = ((calls[:, 0] >> _U(32)) * _U(parts)) >> _U(32)
-                for f, (g, lo, hi) in zip(frag.tolist(), calls.tolist(), strict=True):
-                    for col, v in zip(out, (f, g - (1 << 64) if g >> 63 else g, d.as_py(), h.as_py(), lo, raw[lo : hi + length]), strict=True):
-                        col.append(v)
-            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.binary())], names=["frag", "g", "d", "h", "lo", "ctx"])
+                for f, (_, lo, hi) in zip(frag.tolist(), calls.tolist(), strict=True):
+                    if lo & _CROWDED:
+                        lo -= _CROWDED
+                        ctx = np.frombuffer(raw, np.uint8)[lo : hi + length]
+                        at = np.arange(len(ctx) - length + 1)
+                        hashes = mix64(span_hash(prefix_hash(ctx), at, at + length))
+                        held.append(np.stack([hashes, np.full(len(at), d, np.int64).view(_U), np.full(len(at), h, np.int64).view(_U), (at + lo).astype(_U)], 1))
+                        size += len(at)
+                    else:
+                        for col, v in zip(out, (f, d, h, lo, raw[lo : hi + length], None), strict=True):
+                            col.append(v)
+                if size >= FLUSH:
+                    windows(held, out)
+                    held, size = [], 0
+                yield _contexts(out)
+        if held:
+            out = ([], [], [], [], [], [])
+            windows(held, out)
+            yield _contexts(out)
 
     return run
 
 
+def _contexts(out: tuple[list, ...]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["frag", "d", "h", "lo", "ctx", "windows"])
+
+
+def _equal_windows(packed: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(ids, ids, spans) of the windows of crowded anchors that also start earlier."""
+    w = np.unique(np.concatenate([np.frombuffer(x, _U).reshape(-1, 4) for x in packed]), axis=0)
+    keys, which = np.unique(w[:, 1:3].view(np.int64), axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    order = np.lexsort((w[:, 3], which, w[:, 0]))
+    again = order[1:][w[order][1:, 0] == w[order][:-1, 0]]
+    p = w[again, 3].astype(np.int64)
+    return keys[:, 0], keys[:, 1], (which[again], p, p + length)
+
+
 def _scan(length: int):
     """Maximal repeats among the contexts of one fragment: spans of all occurrences but the first."""
 
+    none = np.zeros(0, np.int64)
+
     def run(t: pa.Table) -> pa.Table:
+        packed = [x for x in t.column("windows").to_pylist() if x]
+        d, h, spans = _equal_windows(packed, length) if packed else (none, none, (none, none, none))
+        crowd = _per_row(d, h, spans, (none, none.astype(_U), none, none))
+        t = t.filter(t.column("ctx").is_valid())
+        own = whole(t) if t.num_rows else ([], [], [], [])
+        out = [[*a, *b] for a, b in zip(crowd, own, strict=True)]
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["d", "h", "spans"])
+
+    def whole(t: pa.Table) -> tuple[list, list, list, list]:
         ids = np.stack([t.column("d").to_numpy(), t.column("h").to_numpy()], 1)
         lo = t.column("lo").to_numpy()
         texts = t.column("ctx").to_pylist()
@@ -359,10 +431,8 @@ def _scan(length: int):
                 first = np.lexsort((p, r))[0]
                 rest = (r != r[first]) | (p != p[first])
                 found.append((r[rest], p[rest], p[rest] + size))
-        none = np.zeros(0, np.int64)
         spans = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
-        out = _per_row(keys[:, 0], keys[:, 1], spans, (none, none.astype(_U), none, none))
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["d", "h", "spans"])
+        return _per_row(keys[:, 0], keys[:, 1], spans, (none, none.astype(_U), none, none))
 
     return run
 
@@ -378,6 +448,15 @@ def _stretches(at: np.ndarray, begin: np.ndarray, sizes: np.ndarray, owner: np.n
         i = j
 
 
+def _span(lo: Column, length: int) -> Column:
+    """One window as two little-endian 32-bit numbers."""
+    def low_first(n: Column) -> Column:
+        x = F.lpad(F.hex(n), 8, "0")
+        return F.unhex(F.concat(*(F.substring(x, i, 2) for i in (7, 5, 3, 1))))
+
+    return F.concat(low_first(lo), low_first(lo + length))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``removed`` (array of [from, to)), ``n_removed`` and ``kept`` (binary).
 
@@ -403,9 +482,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, doc_id: s
     asked = asked.groupBy("d", "h").agg(F.collect_list("asks").alias("asks"))
     once = keyed.join(asked.hint("shuffle_hash"), ["d", "h"])
     arrays = max(1, -(-room // ARRAY_BYTES))
-    contexts = once.select("d", "h", "t", "asks").mapInArrow(_fetch(length, arrays), "frag int, g long, d long, h long, lo long, ctx binary")
-    scanned = contexts.groupBy("frag").applyInArrow(_scan(length), "d long, h long, spans binary")
-    spans = own.union(met.select("d", "h", "spans")).union(scanned).filter(F.octet_length("spans") > 0)
+    contexts = cut(once.select("d", "h", "t", "asks").mapInArrow(_fetch(length, arrays), _CONTEXTS), "contexts")
+    scanned = contexts.filter("frag >= 0").groupBy("frag").applyInArrow(_scan(length), "d long, h long, spans binary")
+    settled = contexts.filter("frag < 0").select("d", "h", _span(F.col("lo"), length).alias("spans"))
+    spans = own.union(met.select("d", "h", "spans")).union(scanned).union(settled).filter(F.octet_length("spans") > 0)
     spans = cut(spans.groupBy("d", "h").agg(F.collect_list("spans").alias("_spans")).select(F.col("d").alias("_sd"), F.col("h").alias("_sh"), "_spans"), "spans")
     joined = base.join(small_side(spans, 400), (F.col("_d") == F.col("_sd")) & (F.col("_h") == F.col("_sh")), "left")
     names = docs.columns
