@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, small_side, widened
+from .base import cut, widened
 from .tokens import mix64, prefix_hash, slices, span_hash
 
 _U = np.uint64
@@ -487,7 +487,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, doc_id: s
     settled = contexts.filter("frag < 0").select("d", "h", _span(F.col("lo"), length).alias("spans"))
     spans = own.union(met.select("d", "h", "spans")).union(scanned).union(settled).filter(F.octet_length("spans") > 0)
     spans = cut(spans.groupBy("d", "h").agg(F.collect_list("spans").alias("_spans")).select(F.col("d").alias("_sd"), F.col("h").alias("_sh"), "_spans"), "spans")
-    joined = base.join(small_side(spans, 400), (F.col("_d") == F.col("_sd")) & (F.col("_h") == F.col("_sh")), "left")
+    joined = base.join(spans.hint("shuffle_hash"), (F.col("_d") == F.col("_sd")) & (F.col("_h") == F.col("_sh")), "left")
     names = docs.columns
     wide = joined.select("_t", "_spans", *names)
 
