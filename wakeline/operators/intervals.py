@@ -131,3 +131,14 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], width: floa
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
     return left.join(right, cond, how).drop("_bin", "_rbin", *(f"_r_{k}" for k in keys))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Pairs of a (keys, as, ae, ...) and b (keys, bs, be, ...) that share time, as an equi-join on bins.
+
+    A pair is kept only in the bin in which the later of the two starts, so none comes twice.
+    """
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
+    left, right = a.withColumn("_bin", bins("as", "ae")), b.withColumn("_bin", bins("bs", "be"))
+    both = left.join(right, [*keys, "_bin"]).filter((F.col("as") < F.col("be")) & (F.col("bs") < F.col("ae")))
+    return both.filter(F.floor(F.greatest("as", "bs") / width) == F.col("_bin")).drop("_bin")

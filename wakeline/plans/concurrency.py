@@ -22,11 +22,12 @@ def concurrency_summary(llm: DataFrame, tools: DataFrame) -> DataFrame:
     return out.select("run_id", *(q6(F.col(c)).alias(c) for c in ("wall_s", "llm_s", "tool_s", "overlap_s", "two_s")), q6(F.col("wall_s") - F.col("busy_s")).alias("residual_s"), "max_degree", q6(F.col("avg_over_busy")).alias("avg_degree"))
 
 
-def self_time(tools: DataFrame, llm: DataFrame) -> DataFrame:
+def self_time(tools: DataFrame, llm: DataFrame, width_ms: float = 3_600_000.0) -> DataFrame:
     """Each tool call's time without the inference inside it."""
     own = tools.select("run_id", "tool_id", "s", "e")
-    inside = own.select("run_id", "tool_id", F.col("s").alias("ts"), F.col("e").alias("te")).join(llm.select("run_id", F.col("s").alias("ls"), F.col("e").alias("le")), "run_id")
-    holes = inside.filter("ls < te and le > ts").select("run_id", "tool_id", F.col("ls").alias("s"), F.col("le").alias("e"))
+    calls = llm.select("run_id", F.col("s").alias("bs"), F.col("e").alias("be")).filter("be > bs")
+    inside = I.overlap_join(own.select("run_id", "tool_id", F.col("s").alias("as"), F.col("e").alias("ae")), calls, ["run_id"], width_ms)
+    holes = inside.select("run_id", "tool_id", F.col("bs").alias("s"), F.col("be").alias("e"))
     rest = I.subtract(own, holes, ["run_id", "tool_id"])
     return rest.groupBy("run_id", "tool_id").agg(q6(F.sum(F.col("e") - F.col("s")) / 1000).alias("self_s"))
 
@@ -72,12 +73,12 @@ def max_leaf_width(events: DataFrame) -> DataFrame:
     return I.peak(own, RUN, least=0.0)
 
 
-def pairwise_overlap(events: DataFrame) -> DataFrame:
+def pairwise_overlap(events: DataFrame, width_ms: float = 3_600_000.0) -> DataFrame:
     """Time in which calls of two kinds (or roles) are both open, by pair of roles."""
     ev = events.select("run_id", "role", "s", "e")
     merged = I.merged(ev, ["run_id", "role"]).select("run_id", F.col("role").alias("rb"), F.col("s").alias("bs"), F.col("e").alias("be"))
     own = I.merged(ev, ["run_id", "role"]).select("run_id", F.col("role").alias("ra"), F.col("s").alias("as"), F.col("e").alias("ae"))
-    return own.join(merged, "run_id").filter("ra < rb and as < be and bs < ae").groupBy("run_id", "ra", "rb").agg(q6(F.sum(F.least("ae", "be") - F.greatest("as", "bs")) / 1000).alias("overlap_s"))
+    return I.overlap_join(own, merged, ["run_id"], width_ms).filter("ra < rb").groupBy("run_id", "ra", "rb").agg(q6(F.sum(F.least("ae", "be") - F.greatest("as", "bs")) / 1000).alias("overlap_s"))
 
 
 def process_intervals(fs: DataFrame) -> DataFrame:

@@ -1219,3 +1219,12 @@ def clock_offsets(spark, d):
 @query()
 def max_leaf_width(spark, d):
     return K.max_leaf_width(K.containment_parents(_events(llm_calls(spark, d)), 60_000.0))
+
+
+@query(tools_sql("""
+SELECT t.run_id, t.tool_id, round((t.e - t.s - coalesce((SELECT sum(least(t.e, b.e) - greatest(t.s, b.s)) FROM (
+  SELECT run_id, island, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ops WHERE e > s)) GROUP BY ALL) b WHERE b.run_id = t.run_id AND b.s < t.e AND b.e > t.s), 0)) / 1000, 3) AS self_s FROM tools t"""))
+def self_time(spark, d):
+    own = K.self_time(tool_calls(spark, d), M.data_ops(fs_entries(spark, d)))
+    return own.select("run_id", "tool_id", F.round("self_s", 3).alias("self_s"))
