@@ -2,16 +2,19 @@
 
 The global order of shingles (their 64-bit hashes) is cut into fragments.  A task
 holds one fragment of many documents, counts partial overlaps there, and sums over
-the fragments give the overlap of a pair.  Four things keep the work in proportion:
+the fragments give the overlap of a pair.  What keeps the work in proportion:
 
 * documents with equal sets form one class before anything is compared;
 * half of the hash space is indexed first; a class stays only if so many of its
   indexed shingles occur in other classes as a link at the threshold implies;
-* candidates share a shingle among the rarest ``n - ceil(t n) + 1`` of both sides
-  (document frequencies in powers of two, summed over the fragments);
-* candidates are first taken from stars around one pivot per shingle; the links
-  found are contracted to components, and only pairs of different components are
-  enumerated in full after that.  No pair that could join two components is left out.
+* links need a common shingle among the rarest ``n - ceil(t n) + 1`` of both sides.
+  Stars around a pivot of each such shingle split the classes into clusters between
+  which no link is possible; clusters are packed into parts that fit a task, and only
+  a cluster that does not fit is cut into more fragments than ``VERTICAL``;
+* the stars' own pairs are verified first and contracted to components.  Of pairs
+  between different components, only those whose segments reach the threshold in at
+  least one fragment are summed: if all partial overlaps were below it, so would be
+  their sum.  No pair that could join two components is left out.
 
 Hashes of shingles and sets are 64 bits wide: a pair of unequal sets is taken for
 equal with probability 2**-64.
@@ -33,10 +36,13 @@ from .tokens import mix64, shingle_hashes, slices, word_hashes
 
 _U = np.uint64
 #: Postings gathered by a map task before it sends them, and postings meant for a fragment.
-FLUSH, FRAGMENT = 2_000_000, 4_000_000
-#: Shingles of surviving classes meant for a fragment of the pair stage.
-PAIR_FRAGMENT = 1_000_000
-_BUCKETS = 48
+FLUSH, FRAGMENT = 1_000_000, 2_000_000
+#: Fragments of the pair stage, and shingles meant for one fragment of a part.
+VERTICAL, PART = 2, 500_000
+#: Pairs that a task looks at before it goes on.
+PAIRS = 1_000_000
+#: Partners of a class in the rounds before the last.
+CLOSEST = 2
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,148 +179,194 @@ def _count_shared(t: pa.Table) -> pa.Table:
         sizes = np.diff(np.append(starts, len(tok)))
         shared = np.bincount(who[np.repeat(sizes > 1, sizes)], minlength=len(cid))
     keep = (shared > 0) | (need <= 0)
-    return pa.table({"cid": cid[keep], "shared": shared[keep].astype(np.int64), "need": need[keep]})
+    cid, shared, need = cid[keep], shared[keep].astype(np.int64), need[keep]
+    # packed by buckets of classes: a class is counted in many fragments, but costs no row in each
+    bucket = cid.view(_U) % _U(t.column("buckets")[0].as_py())
+    order = np.argsort(bucket, kind="stable")
+    own, starts = np.unique(bucket[order], return_index=True)
+    parts = [[x.tobytes() for x in np.split(v[order], starts[1:])] if len(own) else [] for v in (cid, shared, need)]
+    return pa.table([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in parts)], names=["bucket", "cids", "shared", "needs"])
 
 
-_SEGMENTS = "frag int, cid long, n long, seg binary"
+def _alive(t: pa.Table) -> pa.Table:
+    """The classes of a bucket with as many shared shingles over all fragments as a link implies."""
+    cid, shared, need = (np.concatenate([np.frombuffer(x, np.int64) for x in t.column(c).to_pylist()]) for c in ("cids", "shared", "needs"))
+    own, first, which = np.unique(cid, return_index=True, return_inverse=True)
+    total = np.bincount(which.reshape(-1), shared, minlength=len(own))
+    return pa.table({"cid": own[total >= need[first]]})
 
 
-def _segments(docs: DataFrame, k: int, parts: int) -> DataFrame:
-    """A row for each set and fragment: the shingles of the set in that fragment, ascending."""
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(cid, n, toks): the shingles of each row's set, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, data, offs in slices(b.column(0)):
                 s, at = shingle_sets(data, offs, k)
-                ids, frag = _set_ids(s, at), _fragment(s, parts).astype(np.int64)
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for i in range(len(ids)):
-                    own, fr = s[at[i] : at[i + 1]], frag[at[i] : at[i + 1]]
-                    cuts = np.flatnonzero(np.diff(fr)) + 1
-                    for part, f in zip(np.split(own, cuts), fr[np.concatenate([[0], cuts])] if len(fr) else [], strict=False):
-                        for x, value in zip(out, (int(f), int(ids[i]), len(own), part.tobytes()), strict=True):
+                toks = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))
+                yield pa.record_batch([pa.array(_set_ids(s, at)), pa.array(np.diff(at)), toks], names=["cid", "n", "toks"])
+
+    return docs.select("text").mapInArrow(run, "cid long, n long, toks array<long>")
+
+
+_SEGMENTS = "part int, frag int, cid long, n long, seg binary"
+
+
+def _segments(sets: DataFrame) -> DataFrame:
+    """A row for each set (toks, part, cuts) and each of its ``cuts`` fragments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            toks = b.column(2)
+            at, flat = toks.offsets.to_numpy(), toks.values.to_numpy().view(_U)
+            for i, (cid, n, part, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                own = flat[at[i] : at[i + 1]]
+                edge = np.searchsorted(_fragment(own, cuts), np.arange(cuts + 1, dtype=_U)).tolist()
+                for f in range(cuts):
+                    if edge[f + 1] > edge[f]:
+                        for x, value in zip(out, (part, f, cid, n, own[edge[f] : edge[f + 1]].tobytes()), strict=True):
                             x.append(value)
-                yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["frag", "cid", "n", "seg"])
+            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["part", "frag", "cid", "n", "seg"])
 
-    return docs.select("text").mapInArrow(run, _SEGMENTS)
+    return sets.select("cid", "n", "toks", "part", "cuts").mapInArrow(run, _SEGMENTS)
 
 
 class _Fragment:
-    """The entries (shingle, class) of one fragment, ordered by shingle."""
+    """The entries (shingle, class) of one fragment of a part, ordered by shingle."""
 
     def __init__(self, t: pa.Table) -> None:
         cid = t.column("cid").to_numpy()
-        self.cid, first = np.unique(cid, return_index=True)
-        self.n = t.column("n").to_numpy()[first]
-        self.first = first
+        self.cid, self.first = np.unique(cid, return_index=True)
+        self.n = t.column("n").to_numpy()[self.first]
         segs = t.column("seg")
-        parts = [np.frombuffer(segs[int(i)].as_py(), _U) for i in first]
+        parts = [np.frombuffer(segs[int(i)].as_py(), _U) for i in self.first]
         self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
         tok = np.concatenate(parts) if parts else np.zeros(0, _U)
         who = np.repeat(np.arange(len(parts)), self.sizes)
-        order = np.argsort(tok, kind="stable")
-        self.tok, self.who = tok[order], who[order]
-        starts = np.flatnonzero(np.concatenate([[True], self.tok[1:] != self.tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(starts, len(tok)))
-        self.bucket = np.repeat(np.log2(np.maximum(runs, 1)).astype(np.int64), runs)
-
-
-def _histogram(t: pa.Table) -> pa.Table:
-    f = _Fragment(t)
-    counts = np.bincount(f.who * _BUCKETS + f.bucket, minlength=len(f.cid) * _BUCKETS)
-    at = np.flatnonzero(counts)
-    return pa.table({"cid": f.cid[at // _BUCKETS], "n": f.n[at // _BUCKETS], "bucket": (at % _BUCKETS).astype(np.int32), "c": counts[at]})
-
-
-_PAIRS = "a long, b long, na long, nb long"
-
-
-def _candidates(percent: int, full: bool):
-    """Pairs of classes of different components that share a prefix shingle of this fragment:
-    those with the two pivots of each shingle, or all of them."""
+        rank = np.unique(tok, return_inverse=True)[1].reshape(-1)
+        self.width = int(rank.max(initial=0)) + 1
+        self.own = rank  # by class, ascending
+        self.codes = who * self.width + rank
+        df = np.bincount(rank, minlength=1)[rank]
+        # the rarest shingles of each segment that a partner at the threshold must share
+        self.by_rarity = np.lexsort((rank, df, who))
+        self.who, self.rank, self.df = who, rank, df
+
+    def prefix(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shingle, class) of all segments' prefixes that other segments hold too, by shingle."""
+        o = self.by_rarity
+        place = np.arange(len(o)) - np.repeat(self.begin[:-1], self.sizes)
+        allowed = np.repeat(self.sizes - _least_overlap(self.sizes, percent) + 1, self.sizes)
+        o = o[(place < allowed) & (self.df[o] > 1)]
+        o = o[np.argsort(self.rank[o], kind="stable")]
+        return self.rank[o], self.who[o]
+
+    def overlaps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Common shingles of the segments of x and y, pair by pair."""
+        out = np.zeros(len(x), np.int64)
+        step = max(1, PAIRS // max(1, int(self.sizes.mean())))
+        for at in range(0, len(x), step):
+            a, b = x[at : at + step], y[at : at + step]
+            n = self.sizes[a]
+            pair = np.repeat(np.arange(len(a)), n)
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[a], n)
+            want = b[pair] * self.width + self.own[pos]
+            hit = self.codes[np.minimum(np.searchsorted(self.codes, want), len(self.codes) - 1)] == want
+            out[at : at + step] = np.bincount(pair[hit], minlength=len(a))
+        return out
+
+
+_PAIRS = "part int, a long, b long, na long, nb long"
+
+
+def _close_pairs(percent: int, full: bool):
+    """Pairs of classes of different components whose segments reach the threshold in this fragment:
+    all of them, or the ``CLOSEST`` of each class."""
 
     def run(t: pa.Table) -> pa.Table:
         f = _Fragment(t)
-        limit, comp = t.column("bucket").to_numpy()[f.first], t.column("comp").to_numpy()[f.first]
-        prefix = (f.bucket <= limit[f.who]) & (f.bucket > 0)
-        tok, who = f.tok[prefix], f.who[prefix]
-        starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(starts, len(tok)))
-        m = max(1, len(f.cid))
-        found: list[np.ndarray] = []
-
-        def keep(a: np.ndarray, b: np.ndarray) -> None:
+        comp = t.column("comp").to_numpy()[f.first]
+        rank, who = f.prefix(percent)
+        starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else np.zeros(0, np.int64)
+        runs = np.diff(np.append(starts, len(rank)))
+        m = len(f.cid)
+        seen: list[np.ndarray] = []
+        held = 0
+        kept = np.zeros(0, np.int64)
+
+        def settle() -> None:
+            nonlocal kept, held
+            codes = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+            seen.clear()
+            held = 0
+            a, b = codes // m, codes % m
+            common = f.overlaps(a, b)
+            near = 100 * common >= percent * (f.sizes[a] + f.sizes[b] - common)
+            kept = np.union1d(kept, codes[near])
+
+        def look(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal held
             small, large = np.minimum(f.n[a], f.n[b]), np.maximum(f.n[a], f.n[b])
-            ok = (comp[a] != comp[b]) & (100 * small >= percent * large)
-            lo, hi = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
-            found.append(np.unique(lo * m + hi))
-
-        if full:
-            crowd, total = comp[who], 0
-            for s, r in zip(starts[runs > 1], runs[runs > 1], strict=True):
-                ids = who[s : s + r]
-                if r > 1 and (crowd[s : s + r] != crowd[s]).any():
-                    order = np.argsort(f.n[ids], kind="stable")  # a partner's size is bounded: a window in size order
-                    ids = ids[order]
-                    size = f.n[ids]
-                    reach = np.searchsorted(size, size * 100 // percent, "right")
-                    for i in range(r - 1):
-                        other = ids[i + 1 : reach[i]]
-                        if len(other):
-                            keep(np.full(len(other), ids[i]), other)
-                            total += len(other)
-                    if total > 4_000_000:
-                        found[:] = [np.unique(np.concatenate(found))]
-                        total = 0
-        elif len(tok):
-            group = np.repeat(np.arange(len(starts)), runs)
-            for key in (f.cid[who].astype(np.int64).view(_U), mix64(f.cid[who].view(_U) ^ tok)):
-                order = np.lexsort((key, group))
-                pivot = np.repeat(who[order[starts]], runs)
-                keep(who, pivot)
-        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        a, b = codes // m, codes % m
-        return pa.table({"a": f.cid[a], "b": f.cid[b], "na": f.n[a], "nb": f.n[b]})
+            less, more = np.minimum(f.sizes[a], f.sizes[b]), np.maximum(f.sizes[a], f.sizes[b])
+            ok = (comp[a] != comp[b]) & (100 * small >= percent * large) & (100 * less >= percent * more)
+            codes = np.unique(np.minimum(a[ok], b[ok]) * m + np.maximum(a[ok], b[ok]))
+            seen.append(codes)
+            held += len(codes)
+            if held > PAIRS:
+                settle()
+
+        for r in np.unique(runs[runs > 1]).tolist():
+            lists = starts[runs == r]
+            if r * r < PAIRS:
+                i, j = np.triu_indices(r, 1)
+                step = max(1, PAIRS // len(i))
+                for at in range(0, len(lists), step):
+                    ids = who[lists[at : at + step, None] + np.arange(r)]
+                    look(ids[:, i].reshape(-1), ids[:, j].reshape(-1))
+            else:
+                for s in lists.tolist():
+                    ids = who[s : s + r]
+                    step = max(1, PAIRS // r)
+                    for at in range(0, r, step):
+                        a = np.repeat(ids[at : at + step], r)
+                        b = np.tile(ids, len(a) // r)
+                        look(a[a < b], b[a < b])
+        settle()
+        a, b = kept // max(1, m), kept % max(1, m)
+        if not full and len(kept):
+            common = f.overlaps(a, b)
+            share = common / (f.sizes[a] + f.sizes[b] - common)
+            who, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((pair, -share[pair], who))
+            first = np.searchsorted(who[order], who[order])
+            pair = np.unique(pair[order[np.arange(len(order)) - first < CLOSEST]])
+            a, b = a[pair], b[pair]
+        return pa.table({"part": pa.array(np.full(len(a), t.column("part")[0].as_py(), np.int32)), "a": f.cid[a], "b": f.cid[b], "na": f.n[a], "nb": f.n[b]})
 
     return run
 
 
 def _partial_overlaps(pairs: pa.Table, segs: pa.Table) -> pa.Table:
-    """Per pair the overlap inside one fragment."""
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "part": pa.array([], pa.int64())})
+    """Per pair the overlap inside one fragment of a part."""
     if not pairs.num_rows or not segs.num_rows:
-        return empty
+        return pa.table({x: pa.array([], pa.int64()) for x in ("a", "b", "common")})
     f = _Fragment(segs)
     a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
     ia, ib = (np.minimum(np.searchsorted(f.cid, x), len(f.cid) - 1) for x in (a, b))
     ok = (f.cid[ia] == a) & (f.cid[ib] == b)
-    a, b, ia, ib = a[ok], b[ok], ia[ok], ib[ok]
-    rank = np.cumsum(np.concatenate([[0], f.tok[1:] != f.tok[:-1]]))
-    width = int(rank[-1]) + 1 if len(rank) else 1
-    by_class = np.lexsort((rank, f.who))
-    own = rank[by_class]
-    codes = f.who[by_class] * width + own
-    begin = np.concatenate([[0], np.cumsum(f.sizes)])
-    counts = np.zeros(len(ia), np.int64)
-    step = 200_000
-    for at in range(0, len(ia), step):
-        x, y = ia[at : at + step], ib[at : at + step]
-        n = f.sizes[x]
-        pair = np.repeat(np.arange(len(x)), n)
-        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[x], n)
-        want = y[pair] * width + own[pos]
-        hit = codes[np.minimum(np.searchsorted(codes, want), len(codes) - 1)] == want
-        counts[at : at + step] = np.bincount(pair[hit], minlength=len(x))
-    some = counts > 0
-    return pa.table({"a": a[some], "b": b[some], "part": counts[some]})
-
-
-def _verified(pairs: DataFrame, segments: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose summed partial overlaps reach the threshold."""
+    common = f.overlaps(ia[ok], ib[ok])
+    some = common > 0
+    return pa.table({"a": a[ok][some], "b": b[ok][some], "common": common[some]})
+
+
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """The pairs (part, cuts, a, b, na, nb) whose summed partial overlaps reach the threshold."""
     pairs = cut(pairs.distinct(), "pairs")
-    spread = pairs.join(frags, pairs["a"] == frags["cid"]).select("a", "b", F.explode("frags").alias("frag"))
-    parts = spread.groupBy("frag").cogroup(segments.groupBy("frag")).applyInArrow(_partial_overlaps, "a long, b long, part long")
-    sums = parts.groupBy("a", "b").agg(F.sum("part").alias("common"))
+    spread = pairs.select("part", "a", "b", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("frag"))
+    parts = spread.groupBy("part", "frag").cogroup(segments.groupBy("part", "frag")).applyInArrow(_partial_overlaps, "a long, b long, common long")
+    sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"))
     return pairs.join(sums, ["a", "b"]).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -328,47 +380,74 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame,
     """(profile of every row, (node, root) of all classes that have links)."""
     profile = cut(_profile(docs, k, percent), "profile")
     total = profile.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]
-    shared = _postings(docs, k, percent, max(1, -(-total // FRAGMENT))).groupBy("frag").applyInArrow(_count_shared, "cid long, shared long, need long")
-    alive = shared.groupBy("cid").agg(F.sum("shared").alias("s"), F.max("need").alias("need")).filter("s >= need").select("cid")
+    parts = max(1, -(-total // FRAGMENT))
+    postings = _postings(docs, k, percent, parts).withColumn("buckets", F.lit(parts))
+    shared = postings.groupBy("frag").applyInArrow(_count_shared, "bucket int, cids binary, shared binary, needs binary")
+    alive = shared.groupBy("bucket").applyInArrow(_alive, "cid long")
     sizes = profile.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     alive = cut(sizes.join(alive, "cid"), "alive")
-    left = alive.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    own = _segments(_by_id(docs, alive), k, max(1, -(-left // PAIR_FRAGMENT)))
-    segments = cut(own.join(alive.select("cid"), "cid", "left_semi").select("frag", "cid", "n", "seg"), "segments")
-    frags = segments.groupBy("cid").agg(F.collect_set("frag").alias("frags"))
-
-    # how common the rarest shingles that a set must show are
-    upto = Window.partitionBy("cid").orderBy("bucket")
-    limits = (
-        segments.groupBy("frag").applyInArrow(_histogram, "cid long, n long, bucket int, c long")
-        .groupBy("cid", "n", "bucket").agg(F.sum("c").alias("c"))
-        .withColumn("upto", F.sum("c").over(upto))
-        .filter(F.col("upto") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-        .groupBy("cid").agg(F.min("bucket").alias("bucket"))
+    own = _sets(_by_id(docs, alive), k)
+    sets = cut(own.join(alive.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "n", "toks"), "sets")
+
+    # the prefix of each set: its rarest shingles, of which only those held elsewhere matter
+    tokens = sets.select("cid", "n", F.explode("toks").alias("tok"))
+    common = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    rare = Window.partitionBy("cid").orderBy("df", "tok")
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = (
+        tokens.join(common, "tok")
+        .withColumns({"at": F.row_number().over(rare), "m": F.count(F.lit(1)).over(Window.partitionBy("cid"))})
+        .filter(F.col("at") + F.col("n") - F.col("m") <= need)
+        .select("cid", "n", "tok")
     )
-    limits = cut(limits, "limits")
+    prefix = cut(prefix, "prefix")
+    # two pivots of each shingle: one that its neighbours mostly share, for some shingles one at random
+    mixed = F.xxhash64("cid", "tok")
+    pivots = prefix.groupBy("tok").agg(F.min(F.struct("cid", "n")).alias("p"), F.max_by(F.struct("cid", "n"), mixed).alias("q"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    both = F.when(F.pmod("tok", F.lit(16)) == 0, F.array("p", "q")).otherwise(F.array("p"))
+    stars = prefix.join(pivots.select("tok", F.explode(both).alias("p")), "tok").filter(F.col("cid") != F.col("p.cid"))
+    stars = stars.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"), F.when(F.col("cid") < F.col("p.cid"), F.col("n")).otherwise(F.col("p.n")).alias("na"), F.when(F.col("cid") < F.col("p.cid"), F.col("p.n")).otherwise(F.col("n")).alias("nb"))
+    stars = cut(stars.distinct(), "stars")
+
+    # clusters, packed into parts of about PART shingles a fragment
+    clusters = connected(stars).withColumnsRenamed({"node": "cid", "root": "cluster"})
+    placed = sets.select("cid", "n").join(clusters, "cid")  # a set without a partner for its prefix has no links
+    sizes = placed.groupBy("cluster").agg(F.sum("n").alias("size"))
+    room = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    bins = max(1, -(-room // (VERTICAL * PART)))
+    own_part = F.col("size") > VERTICAL * PART
+    where = sizes.select(
+        "cluster", F.when(own_part, -1 - F.pmod(F.xxhash64("cluster"), F.lit((1 << 31) - 1))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))).cast("int").alias("part"),
+        F.when(own_part, F.ceil(F.col("size") / PART)).otherwise(VERTICAL).cast("int").alias("cuts"),
+    )
+    state = cut(placed.join(where, "cluster").select("cid", "cluster", "part", "cuts"), "state")
+    segments = cut(_segments(sets.join(state, "cid")), "segments")
 
     # ids with several rows tie the classes of these rows together
     twice = profile.filter("n > 0 and doc_id is not null").select("doc_id", "cid").distinct()
     least = twice.groupBy("doc_id").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     links = twice.join(least, "doc_id").filter("a <> cid").select("a", F.col("cid").alias("b"))
 
-    def pairs(state: DataFrame, full: bool) -> DataFrame:
-        return segments.join(state, "cid").groupBy("frag").applyInArrow(_candidates(percent, full), _PAIRS)
-
-    near = _verified(pairs(limits.withColumn("comp", F.col("cid")), False), segments, frags, percent)
+    where = state.select(F.col("cid").alias("a"), "part", "cuts")
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    near = _verified(stars.filter(fit).join(where, "a").select("part", "cuts", "a", "b", "na", "nb"), segments, percent)
     roots = cut(connected(near.union(links)), "roots")
-    state = limits.join(roots, limits["cid"] == roots["node"], "left").select("cid", "bucket", F.coalesce("root", "cid").alias("comp"))
-    rest = cut(_verified(pairs(state, True), segments, frags, percent), "rest")
-    if rest.isEmpty():
-        return profile, roots
-    # the remaining links join components
-    up = roots.select("node", "root")
-    joined = rest.join(up.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(up.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
+    for last in (True,):
+        comp = state.join(roots, state["cid"] == roots["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"))
+        close = segments.join(comp, "cid").groupBy("part", "frag").applyInArrow(_close_pairs(percent, last), _PAIRS)
+        found = cut(_verified(close.join(where.drop("part"), "a").select("part", "cuts", "a", "b", "na", "nb"), segments, percent), "found")
+        if not found.isEmpty():
+            roots = _contracted(roots, found)
+    return profile, roots
+
+
+def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after links between nodes of different components (nodes without a row are their own)."""
+    joined = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     over = connected(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     over = cut(over.withColumnsRenamed({"node": "n2", "root": "r2"}), "over")
     old = roots.join(over, roots["root"] == over["n2"], "left").select("node", F.coalesce("r2", "root").alias("root"))
-    return profile, cut(old.union(over.select(F.col("n2").alias("node"), F.col("r2").alias("root"))).distinct(), "roots")
+    return cut(old.union(over.select(F.col("n2").alias("node"), F.col("r2").alias("root"))).distinct(), "roots")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,12 +472,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: s
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows of a component that are not of its smallest id; one row of that id stays.
 
-    Rows with an empty set all stay, and so do rows with a null id that link with nothing.
+    Rows with an empty set all stay, and so do rows with a null id, which nothing could name.
     """
     comp = jaccard_components(docs, k, percent, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n"), F.col("component_id").alias("_c"))
     comp = cut(comp, "groups")
-    go = comp.filter((F.col("_n") > 0) & F.col("_c").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_c"))).select("_id").distinct()
-    stay = docs.join(small_side(go, 16), docs[doc_id].eqNullSafe(F.col("_id")), "left_anti")
+    go = comp.filter((F.col("_n") > 0) & (F.col("_id") != F.col("_c"))).select("_id").distinct()
+    stay = docs.join(small_side(go, 16), docs[doc_id] == F.col("_id"), "left_anti")
     again = comp.filter("_n > 0 and _id is not null").groupBy("_id").count().filter("count > 1").select("_id")
     if again.isEmpty():
         return stay
