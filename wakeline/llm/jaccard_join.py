@@ -14,7 +14,9 @@ the fragments give the overlap of a pair.  What keeps the work in proportion:
 * the stars' own pairs are verified first and contracted to components.  Of pairs
   between different components, only those whose segments reach the threshold in at
   least one fragment are summed: if all partial overlaps were below it, so would be
-  their sum.  No pair that could join two components is left out.
+  their sum.  Two rounds take each class's closest such partners and contract again;
+  the last one takes all that remain, so no pair that could join two components is
+  left out.
 
 Hashes of shingles and sets are 64 bits wide: a pair of unequal sets is taken for
 equal with probability 2**-64.
@@ -432,7 +434,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame,
     fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     near = _verified(stars.filter(fit).join(where, "a").select("part", "cuts", "a", "b", "na", "nb"), segments, percent)
     roots = cut(connected(near.union(links)), "roots")
-    for last in (True,):
+    for last in (False, False, True):
         comp = state.join(roots, state["cid"] == roots["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"))
         close = segments.join(comp, "cid").groupBy("part", "frag").applyInArrow(_close_pairs(percent, last), _PAIRS)
         found = cut(_verified(close.join(where.drop("part"), "a").select("part", "cuts", "a", "b", "na", "nb"), segments, percent), "found")
