@@ -10,7 +10,8 @@ from wakeline.llm import jaccard_join, line_dedup, suffix_dedup
 
 def make(spark, rows, extra=True):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return df.withColumn("n_lines", F.lit("x")).withColumn("g", F.lit(1)).repartition(3) if extra else df
+    clash = ("n_lines", "g", "_t", "_h", "_d", "_id", "_n", "_c", "n", "cid", "hash", "count")
+    return df.withColumns({c: F.lit("x") for c in clash}).repartition(3) if extra else df
 
 
 # ---- lines

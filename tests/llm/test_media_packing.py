@@ -61,7 +61,7 @@ def test_other_tags_and_tables():
 
 def test_columns(spark):
     rows = [(1, "hello"), (2, None), (3, ""), (4, "hello"), (5, "é" * 70_000), (6, "x" * 64)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("kind", F.lit(2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("media", "kind", "_text", "_media")})
     got = {r["doc_id"]: r for r in media.read_media(media.store_texts(docs), payload=True).collect()}
     for d, t in rows:
         p = media.payload_of((t or "").encode())

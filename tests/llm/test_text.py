@@ -17,7 +17,7 @@ def test_words_first_then_ngrams(spark):
     docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(SAMPLE)] + [(98, None, "en"), (99, "words", None)], "doc_id long, text string, lang string")
     model = language_id.fit(docs, min_count=1)
     assert model.langs == ["de", "en"]
-    new = spark.createDataFrame([(1, "The HOUSE"), (2, "gartenhaus"), (3, None), (4, "123 ... 45"), (5, ""), (6, "wind " * 50_000 + "nicht")], "doc_id long, text string").withColumn("score", F.lit("x"))
+    new = spark.createDataFrame([(1, "The HOUSE"), (2, "gartenhaus"), (3, None), (4, "123 ... 45"), (5, ""), (6, "wind " * 50_000 + "nicht")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "_text", "lang")})
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(new, model).collect()}
     assert got[1][0] == "en" and got[2][0] == "de" and got[3] == got[4] == got[5] == ("und", 0.0)
     assert all(0 <= s <= 1 for _, s in got.values()) and len(got) == 6
@@ -66,7 +66,7 @@ def test_urls_equal_a_scan_of_the_rules(spark, monkeypatch, most):
     rules = [(v, r) for r, v in rules] + URL_RULES
     urls = [rng.choice(["http", "https"]) + "://" + ".".join(rng.choices([*words, "A", "EXAMPLE"], k=rng.randint(1, 4))) + rng.choice(["", "/", "/a", "/a/b?x=/a", "/ab#y", "/abc/d", "?q", "#z"]) for _ in range(300)]
     urls += [None, "", "no scheme/a", "://", "x://HOST:80/Ab", "a://b://c/d", "http://" + "a." * 3000 + "org/" + "p/" * 3000, "http://org", "http://org/"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("rule", F.lit(1))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({c: F.lit(1) for c in ("rule", "_url", "_rh", "_b")})
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules, "allow").collect()}
     assert got == {i: judge_by_hand(u, rules, "allow") for i, u in enumerate(urls)}
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0

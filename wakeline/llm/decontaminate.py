@@ -258,13 +258,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_word
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    passages = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("_i"), F.col(item_text).alias("_t"))
-    n = passages.agg(F.coalesce(F.sum(F.regexp_count("_t", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
+    passages = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("__wl_i"), F.col(item_text).alias("__wl_t"))
+    n = passages.agg(F.coalesce(F.sum(F.regexp_count("__wl_t", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-n // BLOCK_WORDS))
     ddl = f"doc_id {kind}, item_id {items.schema[item_id].dataType.simpleString()}, distance int, n_words int, start_word int, end_word int"
     out = spark.createDataFrame([], ddl)
     for b in range(blocks):
-        rows = [tuple(r) for r in passages.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(blocks)) == b).orderBy("_i", "_t").collect()]
+        rows = [tuple(r) for r in passages.filter(F.pmod(F.xxhash64("__wl_i", "__wl_t"), F.lit(blocks)) == b).orderBy("__wl_i", "__wl_t").collect()]
         index = build(rows, min_words, recall)
         if index is None:
             continue
@@ -288,12 +288,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_word
 
 def drop_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents (ids) in which an item leaks; columns stay as they are."""
-    leaks = find_leaks(docs, items, recall, doc_id=doc_id, text=text).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(small_side(leaks, 16), docs[doc_id].eqNullSafe(F.col("_id")), "left_anti")
+    leaks = find_leaks(docs, items, recall, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__wl_id")).distinct()
+    return docs.join(small_side(leaks, 16), docs[doc_id].eqNullSafe(F.col("__wl_id")), "left_anti")
 
 
 def flag_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``leaked_items``, the sorted ids of the items found in each document's id (or null)."""
     docs = docs.drop("leaked_items")
-    leaks = find_leaks(docs, items, recall, doc_id=doc_id, text=text).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("item_id")).alias("leaked_items"))
-    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("_id")), "left").drop("_id")
+    leaks = find_leaks(docs, items, recall, doc_id=doc_id, text=text).groupBy(F.col("doc_id").alias("__wl_id")).agg(F.sort_array(F.collect_set("item_id")).alias("leaked_items"))
+    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("__wl_id")), "left").drop("__wl_id")

@@ -374,8 +374,8 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose id is listed; null-safe; broadcast only when counted to be small."""
-    side = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(small_side(side, 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    side = ids.select(F.col("doc_id").alias("__wl_id")).distinct()
+    return docs.join(small_side(side, 16), docs["doc_id"].eqNullSafe(F.col("__wl_id")), "left_semi")
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -465,9 +465,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: s
     profile, roots = classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), k, percent)
     rows = profile.join(roots, profile["cid"] == roots["node"], "left").select("doc_id", "n", "cid", F.coalesce("root", "cid").alias("g"))
     full = rows.filter("n > 0")
-    sizes = full.groupBy("cid").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1").withColumnRenamed("cid", "_c")
-    groups = full.groupBy("g").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1").select(F.col("g").alias("_g"), "least")
-    out = rows.join(groups, (F.col("g") == F.col("_g")) & (F.col("n") > 0), "left").join(sizes, (F.col("cid") == F.col("_c")) & (F.col("n") > 0), "left")
+    sizes = full.groupBy("cid").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1").withColumnRenamed("cid", "__wl_c")
+    groups = full.groupBy("g").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1").select(F.col("g").alias("__wl_g"), "least")
+    out = rows.join(groups, (F.col("g") == F.col("__wl_g")) & (F.col("n") > 0), "left").join(sizes, (F.col("cid") == F.col("__wl_c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
@@ -476,15 +476,15 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id:
 
     Rows with an empty set all stay, and so do rows with a null id, which nothing could name.
     """
-    comp = jaccard_components(docs, k, percent, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n"), F.col("component_id").alias("_c"))
+    comp = jaccard_components(docs, k, percent, doc_id, text).select(F.col("doc_id").alias("__wl_id"), F.col("n_shingles").alias("__wl_n"), F.col("component_id").alias("__wl_c"))
     comp = cut(comp, "groups")
-    go = comp.filter((F.col("_n") > 0) & (F.col("_id") != F.col("_c"))).select("_id").distinct()
-    stay = docs.join(small_side(go, 16), docs[doc_id] == F.col("_id"), "left_anti")
-    again = comp.filter("_n > 0 and _id is not null").groupBy("_id").count().filter("count > 1").select("_id")
+    go = comp.filter((F.col("__wl_n") > 0) & (F.col("__wl_id") != F.col("__wl_c"))).select("__wl_id").distinct()
+    stay = docs.join(small_side(go, 16), docs[doc_id] == F.col("__wl_id"), "left_anti")
+    again = comp.filter("__wl_n > 0 and __wl_id is not null").groupBy("__wl_id").count().filter("count > 1").select("__wl_id")
     if again.isEmpty():
         return stay
     again = small_side(again, 16)
     blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    several = stay.filter(~blank).join(again, stay[doc_id] == F.col("_id"), "left_semi").dropDuplicates([doc_id])
-    single = stay.filter(~blank).join(again, stay[doc_id] == F.col("_id"), "left_anti")
+    several = stay.filter(~blank).join(again, stay[doc_id] == F.col("__wl_id"), "left_semi").dropDuplicates([doc_id])
+    single = stay.filter(~blank).join(again, stay[doc_id] == F.col("__wl_id"), "left_anti")
     return single.unionByName(several).unionByName(stay.filter(blank))

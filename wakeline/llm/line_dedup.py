@@ -44,9 +44,9 @@ def line_keys(texts: DataFrame, min_chars: int) -> DataFrame:
                         pos.append(p)
                         keys.append(k)
             at = pa.array(row, pa.int32())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["_d", "_h", "_pos", "_key"])
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["__wl_d", "__wl_h", "__wl_pos", "__wl_key"])
 
-    return texts.mapInArrow(run, widened(texts.select("_d", "_h"), "_pos int, _key binary"))
+    return texts.mapInArrow(run, widened(texts.select("__wl_d", "__wl_h"), "__wl_pos int, __wl_key binary"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,41 +59,41 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, doc_id:
     document that sorts before all others.  No rows in, no rows out.  Other
     columns pass through; ones that carry an output name are replaced.
     """
-    base = docs.drop("kept_text", "n_lines", "n_dropped").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    base = base.withColumn("_h", F.xxhash64("_t"))  # tells rows that share an id apart
-    lines = cut(line_keys(base.select(F.col(doc_id).alias("_d"), "_h", F.col("_t").cast("binary")), min_chars), "lines")
+    base = docs.drop("kept_text", "n_lines", "n_dropped").withColumn("__wl_t", F.coalesce(F.col(text), F.lit("")))
+    base = base.withColumn("__wl_h", F.xxhash64("__wl_t"))  # tells rows that share an id apart
+    lines = cut(line_keys(base.select(F.col(doc_id).alias("__wl_d"), "__wl_h", F.col("__wl_t").cast("binary")), min_chars), "lines")
     # one row per document and key first, so that a hot key meets as one partial count per task
     counted = (
-        lines.select("_key", "_d").distinct()
-        .groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_last"))
-        .filter(F.col("_n") >= min_docs)
+        lines.select("__wl_key", "__wl_d").distinct()
+        .groupBy("__wl_key").agg(F.count(F.lit(1)).alias("__wl_n"), F.max("__wl_d").alias("__wl_last"))
+        .filter(F.col("__wl_n") >= min_docs)
     )
     counted = cut(counted, "keys")
-    heavy = F.col("_n") > lines.count() // HEAVY
-    hot = F.broadcast(counted.filter(heavy).withColumnsRenamed({"_key": "_hot", "_last": "_hot_last"}).drop("_n"))
-    marked = lines.join(hot, F.col("_key") == F.col("_hot"), "left")
-    gone = F.col("_d").isNull() | (F.col("_d") != F.col("_last"))
+    heavy = F.col("__wl_n") > lines.count() // HEAVY
+    hot = F.broadcast(counted.filter(heavy).withColumnsRenamed({"__wl_key": "__wl_hot", "__wl_last": "__wl_hot_last"}).drop("__wl_n"))
+    marked = lines.join(hot, F.col("__wl_key") == F.col("__wl_hot"), "left")
+    gone = F.col("__wl_d").isNull() | (F.col("__wl_d") != F.col("__wl_last"))
     flags = (
-        marked.filter("_hot is not null").select("_d", "_h", "_pos", F.col("_hot_last").alias("_last"))
-        .union(marked.filter("_hot is null").join(counted.filter(~heavy), "_key").select("_d", "_h", "_pos", "_last"))
+        marked.filter("__wl_hot is not null").select("__wl_d", "__wl_h", "__wl_pos", F.col("__wl_hot_last").alias("__wl_last"))
+        .union(marked.filter("__wl_hot is null").join(counted.filter(~heavy), "__wl_key").select("__wl_d", "__wl_h", "__wl_pos", "__wl_last"))
         .filter(gone)
-        .groupBy(F.col("_d").alias("_fd"), F.col("_h").alias("_fh")).agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
+        .groupBy(F.col("__wl_d").alias("__wl_fd"), F.col("__wl_h").alias("__wl_fh")).agg(F.sort_array(F.collect_set("__wl_pos")).alias("__wl_drop"))
     )
-    joined = base.join(flags.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_fd")) & (F.col("_h") == F.col("_fh")), "left")
+    joined = base.join(flags.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__wl_fd")) & (F.col("__wl_h") == F.col("__wl_fh")), "left")
     # reassembly by position: the runs between dropped positions, joined in order
-    parts = F.split("_t", "\n", -1)
+    parts = F.split("__wl_t", "\n", -1)
     n = F.size(parts)
-    drop = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
+    drop = F.coalesce(F.col("__wl_drop"), F.array().cast("array<int>"))
     bounds = F.concat(F.array(F.lit(-1)), drop, F.array(n))
     runs = F.filter(
         F.transform(F.sequence(F.lit(0), F.size(drop)), lambda i: F.struct(
             (F.get(bounds, i) + 1).alias("a"), (F.get(bounds, i + 1) - F.get(bounds, i) - 1).alias("n"))),
         lambda r: r["n"] > 0,
     )
-    kept = F.array_join(F.transform(runs, lambda r: F.array_join(F.slice(F.col("_lines"), r["a"] + 1, r["n"]), "\n")), "\n")
+    kept = F.array_join(F.transform(runs, lambda r: F.array_join(F.slice(F.col("__wl_lines"), r["a"] + 1, r["n"]), "\n")), "\n")
     return (
-        joined.withColumn("_lines", parts)
+        joined.withColumn("__wl_lines", parts)
         .withColumns({"n_lines": n.cast("long"), "n_dropped": F.size(drop).cast("long"),
-                      "kept_text": F.when(F.size(drop) == 0, F.col("_t")).otherwise(kept)})
-        .drop("_t", "_h", "_fd", "_fh", "_drop", "_lines")
+                      "kept_text": F.when(F.size(drop) == 0, F.col("__wl_t")).otherwise(kept)})
+        .drop("__wl_t", "__wl_h", "__wl_fd", "__wl_fh", "__wl_drop", "__wl_lines")
     )

@@ -245,14 +245,14 @@ def payload_of(text: bytes | None, unit: int = 64) -> bytes:
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a ``media`` column holding each whole text as an audio stream (null: empty text)."""
     docs = docs.drop("media")
-    wide = docs.select(F.col(text).cast("binary").alias("_text"), "*")
+    wide = docs.select(F.col(text).cast("binary").alias("__wl_text"), "*")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             media = pa.array([pack_payload(payload_of(t.as_py())) for t in b.column(0)], pa.binary())
             yield pa.record_batch([*b.columns, media], names=[*b.schema.names, "media"])
 
-    return wide.mapInArrow(pack, widened(wide, "media binary")).drop("_text")
+    return wide.mapInArrow(pack, widened(wide, "media binary")).drop("__wl_text")
 
 
 INDEX = "kind string, hz int, channels int, samples long, duration_s double, n_frames long, seek_offsets array<long>, table string, table_frames long, crc_checked long, crc_failed long, resyncs long, skipped long, truncated boolean, tags map<string,string>"
@@ -273,7 +273,7 @@ def read_media(df: DataFrame, media: str = "media", payload: bool = False) -> Da
     ddl = f"{INDEX}, {PAYLOAD}" if payload else INDEX
     added = T.StructType.fromDDL(ddl)
     df = df.drop(*added.names)
-    wide = df.select(F.col(media).alias("_media"), "*")
+    wide = df.select(F.col(media).alias("__wl_media"), "*")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -293,4 +293,4 @@ def read_media(df: DataFrame, media: str = "media", payload: bool = False) -> Da
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
             yield pa.record_batch([*b.columns, *(pa.array(c, f.type) for c, f in zip(cols, types, strict=True))], names=[*b.schema.names, *types.names])
 
-    return wide.mapInArrow(read, widened(wide, ddl)).drop("_media")
+    return wide.mapInArrow(read, widened(wide, ddl)).drop("__wl_media")

@@ -469,8 +469,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, doc_id: s
     An empty table gives no rows; columns named like the outputs are replaced.
     """
     docs = docs.drop("n_bytes", "removed", "n_removed", "kept")
-    base = docs.withColumns({"_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(text), "_t": F.coalesce(F.col(text).cast("binary"), F.lit(b""))})
-    keyed = base.select(F.col("_d").alias("d"), F.col("_h").alias("h"), F.col("_t").alias("t"))
+    base = docs.withColumns({"__wl_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__wl_h": F.xxhash64(text), "__wl_t": F.coalesce(F.col(text).cast("binary"), F.lit(b""))})
+    keyed = base.select(F.col("__wl_d").alias("d"), F.col("__wl_h").alias("h"), F.col("__wl_t").alias("t"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, round(2 * total / (length - gram + 2) / FRAGMENT))
     sent = _send(keyed, length, gram, parts)
@@ -486,10 +486,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, doc_id: s
     scanned = contexts.filter("frag >= 0").groupBy("frag").applyInArrow(_scan(length), "d long, h long, spans binary")
     settled = contexts.filter("frag < 0").select("d", "h", _span(F.col("lo"), length).alias("spans"))
     spans = own.union(met.select("d", "h", "spans")).union(scanned).union(settled).filter(F.octet_length("spans") > 0)
-    spans = cut(spans.groupBy("d", "h").agg(F.collect_list("spans").alias("_spans")).select(F.col("d").alias("_sd"), F.col("h").alias("_sh"), "_spans"), "spans")
-    joined = base.join(spans.hint("shuffle_hash"), (F.col("_d") == F.col("_sd")) & (F.col("_h") == F.col("_sh")), "left")
+    spans = cut(spans.groupBy("d", "h").agg(F.collect_list("spans").alias("__wl_spans")).select(F.col("d").alias("__wl_sd"), F.col("h").alias("__wl_sh"), "__wl_spans"), "spans")
+    joined = base.join(spans.hint("shuffle_hash"), (F.col("__wl_d") == F.col("__wl_sd")) & (F.col("__wl_h") == F.col("__wl_sh")), "left")
     names = docs.columns
-    wide = joined.select("_t", "_spans", *names)
+    wide = joined.select("__wl_t", "__wl_spans", *names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

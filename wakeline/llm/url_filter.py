@@ -100,14 +100,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.record_batch([*b.columns, *(pa.array(c, pa.string()) for c in cols[:3]), pa.array([v or default for v in cols[3]], pa.string())], names=[*b.schema.names, "host", "path", "rule", "verdict"])
 
-    wide = pages.select(F.col(url).alias("_url"), "*")
-    return wide.mapInArrow(judge, widened(wide, "host string, path string, rule string, verdict string")).drop("_url")
+    wide = pages.select(F.col(url).alias("__wl_url"), "*")
+    return wide.mapInArrow(judge, widened(wide, "host string, path string, rule string, verdict string")).drop("__wl_url")
 
 
 def _joined(pages: DataFrame, rules: list[tuple[str, str]], default: str, url: str) -> DataFrame:
     """The way for rule lists too long to broadcast: host suffixes join the rules' hosts."""
     spark = pages.sparkSession
-    listed = spark.createDataFrame([(*parse_rule(r), r, v) for v, r in rules], "_rh string, _rp string, _rule string, _v string")
+    listed = spark.createDataFrame([(*parse_rule(r), r, v) for v, r in rules], "__wl_rh string, __wl_rp string, __wl_rule string, __wl_v string")
     found = F.instr(url, "://") > 0
     rest = F.substring(F.col(url), F.instr(url, "://") + 3, F.length(url))
     host = F.when(found, F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), _UPPER, _LOWER)).otherwise("")
@@ -115,11 +115,11 @@ def _joined(pages: DataFrame, rules: list[tuple[str, str]], default: str, url: s
     parsed = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
     labels = F.split("host", r"\.", -1)
     keys = parsed.select("host", "path").distinct()
-    suffixes = keys.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_rh"))
+    suffixes = keys.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("__wl_rh"))
     best = (
-        suffixes.join(listed, "_rh").filter(F.expr("startswith(path, _rp)"))
+        suffixes.join(listed, "__wl_rh").filter(F.expr("startswith(path, __wl_rp)"))
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct("_rule", "_v"), F.struct(F.length("_rh"), F.length("_rp"), F.col("_v") == "block")).alias("_b"))
+        .agg(F.max_by(F.struct("__wl_rule", "__wl_v"), F.struct(F.length("__wl_rh"), F.length("__wl_rp"), F.col("__wl_v") == "block")).alias("__wl_b"))
     )
     out = parsed.join(best, ["host", "path"], "left")
-    return out.select(*[c for c in pages.columns], "host", "path", F.col("_b._rule").alias("rule"), F.coalesce("_b._v", F.lit(default)).alias("verdict"))
+    return out.select(*[c for c in pages.columns], "host", "path", F.col("__wl_b.__wl_rule").alias("rule"), F.coalesce("__wl_b.__wl_v", F.lit(default)).alias("verdict"))
