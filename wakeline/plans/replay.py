@@ -32,8 +32,9 @@ def comparability(reps: DataFrame, fields: list[str]) -> DataFrame:
 def differing_config(arms: DataFrame) -> DataFrame:
     """Keys of the arms' config (JSON text) with more than one value; an absent key is a value of its own."""
     kv = arms.select("arm", F.explode(F.from_json("config", "map<string,string>")).alias("key", "value"))
-    grid = kv.select("key").distinct().join(F.broadcast(arms.select("arm").distinct()))
-    n = grid.join(kv, ["arm", "key"], "left").groupBy("key").agg(F.count_distinct(F.coalesce("value", F.lit("(absent)"))).alias("n")).filter("n > 1")
+    arms_in_all = arms.select("arm").distinct().count()
+    absent = F.when(F.count_distinct("arm") < arms_in_all, 1).otherwise(0)
+    n = kv.groupBy("key").agg((F.count_distinct("value") + absent).alias("n")).filter("n > 1")
     place = F.array_position(F.array(*map(F.lit, CONFIG_ORDER)), F.col("key"))
     return n.select("key", "n", F.when(place > 0, place).otherwise(len(CONFIG_ORDER) + 1).cast("int").alias("place"))
 
