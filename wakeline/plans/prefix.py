@@ -75,12 +75,16 @@ def reuse_by_run(matches: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(run_id, call, source, lcp): the earlier calls that share the longest prefix with a call."""
-    a = nodes.select("run_id", "depth", "hash", "call")
-    b = nodes.select("run_id", "depth", "hash", F.col("call").alias("source"))
-    pair = a.join(b, ["run_id", "depth", "hash"]).filter("source < call").groupBy("run_id", "call", "source").agg(F.max("depth").alias("lcp"))
-    order = Window.partitionBy("run_id", "call").orderBy(F.desc("lcp"))
-    return pair.withColumn("r", F.rank().over(order)).filter("r = 1").drop("r")
+    """(run_id, call, source, lcp): the earlier calls that share the longest prefix with a call.
+
+    They all sit at one trie node, the deepest that an earlier call reached, so calls
+    are joined there and at no other depth.
+    """
+    first = nodes.groupBy("run_id", "depth", "hash").agg(F.min("call").alias("first"))
+    deepest = nodes.join(first, ["run_id", "depth", "hash"]).filter("first < call").groupBy("run_id", "call").agg(F.max(F.struct("depth", "hash")).alias("at"))
+    here = deepest.select("run_id", "call", F.col("at.depth").alias("depth"), F.col("at.hash").alias("hash"))
+    source = nodes.select("run_id", "depth", "hash", F.col("call").alias("source"))
+    return here.join(source, ["run_id", "depth", "hash"]).filter("source < call").select("run_id", "call", "source", F.col("depth").alias("lcp"))
 
 
 def candidate_counts(cand: DataFrame, calls: DataFrame) -> DataFrame:
