@@ -185,7 +185,11 @@ def test_classifiers(spark):
     flags = spark.createDataFrame([(0,), (0o2101,), (0o1000002,)], "f long").select(C.open_flags(F.col("f")).alias("x"))
     assert [r["x"] for r in flags.collect()] == ["O_RDONLY", "O_WRONLY|O_CREAT|O_APPEND", "O_RDWR|O_NOATIME"]
     size = spark.createDataFrame([(99,), (100,), (1 << 30,)], "n long").select(C.size_bin(F.col("n")).alias("x"))
-    assert [r["x"] for r in size.collect()] == ["<=100B", "100B-1KB", ">1GB"]
+    assert [r["x"] for r in size.collect()] == ["<=100B", "100B-1K", ">1G"]
+    kinds = spark.createDataFrame([(x,) for x in ("/a/x.CSV", "/a/chr1.HG00096", "/a/run.tmp.1", "/a/log_1", "/a/s.lock", "/a/README", "/a/p.html", None)], "p string").select(C.file_kind(F.col("p")).alias("x"))
+    assert [r["x"] for r in kinds.collect()] == ["table", "raw_data", "tmp", "log", "config", "other", "image/doc", "other"]
+    noise = spark.createDataFrame([("openat", -2, "/etc/ssl/x"), ("openat", -2, "/w/x"), ("openat", 3, "/lib/x"), ("read", -2, "/lib/x")], "s string, r int, p string")
+    assert [r[0] for r in noise.select(C.is_enoent_noise(F.col("s"), F.col("r"), F.col("p"))).collect()] == [True, False, False, False]
     tag = spark.createDataFrame([("[nocache:ab-1]\nhello",)], "t string").select(C.nocache_tag(F.col("t")), C.strip_nocache_tag(F.col("t")))
     assert rows(tag) == [("ab-1", "hello")]
 

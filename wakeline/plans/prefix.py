@@ -99,7 +99,8 @@ def lineage_parents(cand: DataFrame, unit: int = 1) -> DataFrame:
     return cand.filter(F.floor(F.col("lcp") / unit) > 0).groupBy("run_id", "call").agg(F.max("source").alias("parent"), F.max("lcp").cast("long").alias("lcp"))
 
 
-AGE_BINS = [(5, "<5s"), (15, "5-15s"), (30, "15-30s"), (60, "30-60s"), (None, ">=60s")]
+#: Age bins in seconds.
+AGE_BINS = [(5, "<5s"), (15, "5–15s"), (30, "15–30s"), (60, "30–60s"), (None, ">60s")]
 
 
 def age_bin(seconds: Column) -> Column:
@@ -119,20 +120,24 @@ def temporal_reuse(cand: DataFrame, calls: DataFrame) -> DataFrame:
     return grid.join(found, ["run_id", "bin"], "left").select("run_id", "bin", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
-def reuse_class(lcp: Column, tokens: Column, source_tokens: Column, high: float = 0.7) -> tuple[Column, Column]:
-    """(source class, reuse band): an exact repeat comes first; a band is high above 70 per cent."""
-    kind = F.when((lcp == tokens) & (lcp == source_tokens), "exact_repeat").when(lcp == source_tokens, "extension").when(lcp > 0, "branch").otherwise("none")
-    share = F.try_divide(lcp, tokens)
-    return kind, F.when(share > high, "high").when(share > 0, "partial").otherwise("none")
+def source_class(repeats: Column, candidates: Column) -> Column:
+    """An exact repeat comes first, then the number of candidates."""
+    return F.when(repeats > 0, "exact repeat").when(candidates == 0, "no candidate").when(candidates == 1, "unique").when(candidates == 2, "2 sources").otherwise("3+ sources")
+
+
+def reuse_band(cached: Column, sent: Column, logical: Column, high: float = 0.7) -> Column:
+    """Realised share above 70 per cent, above 0, or 0 where a logical match existed; else null."""
+    share = F.try_divide(cached, sent)
+    return F.when(sent <= 0, None).when(share > high, "realized >70%").when(share > 0, "realized 1–70%").when(logical > 0, "realized 0%, logical >0")
 
 
 def source_classes(cand: DataFrame, calls: DataFrame) -> DataFrame:
-    n = calls.select("run_id", "call", "n_tokens")
-    parent = lineage_parents(cand)
-    src = calls.select("run_id", F.col("call").alias("parent"), F.col("n_tokens").alias("pn"))
-    x = n.join(parent, ["run_id", "call"], "left").join(src, ["run_id", "parent"], "left")
-    kind, band = reuse_class(F.coalesce("lcp", F.lit(0)), F.col("n_tokens"), F.col("pn"))
-    return x.groupBy("run_id", kind.alias("kind"), band.alias("band")).agg(F.count(F.lit(1)).alias("calls"))
+    """Calls by source class and reuse band."""
+    earlier = F.row_number().over(Window.partitionBy("run_id", "cache_key").orderBy("call")) - 1
+    found = cand.groupBy("run_id", "call").agg(F.count(F.lit(1)).alias("n"), F.max("lcp").alias("lcp"))
+    x = calls.select("run_id", "call", "input", "cache_read", earlier.alias("repeats")).join(found, ["run_id", "call"], "left")
+    kind = source_class(F.col("repeats"), F.coalesce("n", F.lit(0)))
+    return x.groupBy("run_id", kind.alias("kind"), reuse_band(F.col("cache_read"), F.col("input"), F.coalesce("lcp", F.lit(0))).alias("band")).agg(F.count(F.lit(1)).alias("calls"))
 
 
 def segments(nodes: DataFrame) -> DataFrame:

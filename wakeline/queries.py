@@ -846,8 +846,10 @@ def temporal_reuse(spark, d):
 
 
 @query(tok_sql(f"""
-SELECT run_id, CASE WHEN lcp = n AND lcp = pn THEN 'exact_repeat' WHEN lcp = pn THEN 'extension' WHEN lcp > 0 THEN 'branch' ELSE 'none' END AS kind, CASE WHEN lcp / n > 0.7 THEN 'high' WHEN lcp > 0 THEN 'partial' ELSE 'none' END AS band, count(*) AS calls FROM (
-SELECT t.run_id, len(t.t) AS n, coalesce(c.lcp, 0) AS lcp, len(p.t) AS pn FROM tok t LEFT JOIN (SELECT run_id, call, max(source) AS parent, max(lcp) AS lcp FROM ({CAND}) GROUP BY ALL) c USING (run_id, call) LEFT JOIN tok p ON p.run_id = t.run_id AND p.call = c.parent) GROUP BY ALL"""))
+SELECT run_id, CASE WHEN rep > 0 THEN 'exact repeat' WHEN n = 0 THEN 'no candidate' WHEN n = 1 THEN 'unique' WHEN n = 2 THEN '2 sources' ELSE '3+ sources' END AS kind,
+  CASE WHEN share > 0.7 THEN 'realized >70%' WHEN share > 0 THEN 'realized 1–70%' WHEN lcp > 0 THEN 'realized 0%, logical >0' END AS band, count(*) AS calls FROM (
+SELECT t.run_id, t.cache_read / t."input" AS share, row_number() OVER (PARTITION BY t.run_id, l.cache_key ORDER BY t.call) - 1 AS rep, coalesce(c.n, 0) AS n, coalesce(c.lcp, 0) AS lcp FROM tok t JOIN llm l USING (run_id, call)
+LEFT JOIN (SELECT run_id, call, count(*) AS n, max(lcp) AS lcp FROM ({CAND}) GROUP BY ALL) c USING (run_id, call)) GROUP BY ALL"""))
 def source_classes(spark, d):
     calls = _calls(spark, d)
     return P.source_classes(P.candidates(P.trie(calls)), calls)
