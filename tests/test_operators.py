@@ -190,8 +190,18 @@ def test_classifiers(spark):
     assert [r["x"] for r in kinds.collect()] == ["table", "raw_data", "tmp", "log", "config", "other", "image/doc", "other"]
     noise = spark.createDataFrame([("openat", -2, "/etc/ssl/x"), ("openat", -2, "/w/x"), ("openat", 3, "/lib/x"), ("read", -2, "/lib/x")], "s string, r int, p string")
     assert [r[0] for r in noise.select(C.is_enoent_noise(F.col("s"), F.col("r"), F.col("p"))).collect()] == [True, False, False, False]
-    tag = spark.createDataFrame([("[nocache:ab-1]\nhello",)], "t string").select(C.nocache_tag(F.col("t")), C.strip_nocache_tag(F.col("t")))
-    assert rows(tag) == [("ab-1", "hello")]
+    digits = "0123456789abcdef" * 2
+    tag = spark.createDataFrame([(f"[nocache:{digits}]\nhello",), ("[nocache:12]\nx",)], "t string")
+    assert rows(tag.select(C.strip_nocache_tag(F.col("t")), C.nocache_tag(F.col("t")).isNull())) == [("[nocache:12]\nx", True), ("hello", False)]
+    assert tag.select(C.strip_nocache_tag(C.apply_nocache_tag(F.lit("hi"), F.lit(digits)))).first()[0] == "hi"
+    text = spark.createDataFrame([("Please RETRY the summary",), ("a Summary",), ("nothing",), (None,)], "t string")
+    assert [r[0] for r in text.select(C.prompt_phase(F.col("t"))).collect()] == ["backtrack", "summary", "reasoning", "reasoning"]
+    assert [r[0] for r in text.select(C.code_phase(F.lit("r"), F.col("t"))).collect()] == ["action_unit_backtrack", "summary_write", "code_exec", "code_exec"]
+    models = spark.createDataFrame([("p", "GPT-4o", None), (None, "qwen3.6-35b", "https://API.OpenAI.com/v1"), ("x", "m", "http://host:1/v1")], "p string, m string, u string")
+    assert [r[0] for r in models.select(C.recorded_vendor(F.col("p"), F.col("m"))).collect()] == ["OpenAI", "FreeInference", "x vendor not recorded"]
+    assert [r[0] for r in models.select(C.serving_vendor(F.col("p"), F.col("m"), F.lit(None).cast("string"), F.col("u"))).collect()] == ["p", "OpenAI", "host"]
+    secs = spark.createDataFrame([(5.0,), (65.5,), (None,)], "s double").select(C.duration(F.col("s")), C.percent(F.col("s") / 100))
+    assert rows(secs) == [("1m05.50s", "65.50%"), ("5.00s", "5.00%"), ("n/a", "n/a")]
 
 
 @pytest.mark.parametrize(("text", "want"), [

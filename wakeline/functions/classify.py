@@ -220,15 +220,40 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
-def vendor(name: Column) -> Column:
-    low = F.lower(name)
+def recorded_vendor(provider: Column, model: Column) -> Column:
+    """The vendor of old traces, known by the model's name where it is."""
+    m = F.lower(F.coalesce(model, F.lit("")))
+    return F.when(m.rlike("^(gpt-|o1|o3|o4)"), "OpenAI").when(m.startswith("qwen3.6-"), "FreeInference").otherwise(F.concat(F.coalesce(F.nullif(provider, F.lit("")), F.lit("unknown")), F.lit(" vendor not recorded")))
+
+
+def serving_vendor(provider: Column, model: Column, backend: Column, base_url: Column) -> Column:
+    """The service behind a call: the serving backend, else the host of the base URL, else the provider."""
+    host = F.lower(F.coalesce(F.parse_url(base_url, F.lit("HOST")), base_url))
     return (
-        F.when(low.rlike("gpt|^o[134]|openai"), "openai").when(low.contains("claude"), "anthropic").when(low.contains("gemini"), "google")
-        .when(low.rlike("qwen|llama|vllm|mistral"), "vllm").otherwise("unknown")
+        F.when(F.lower(backend) == "vllm", "vLLM").when(host.contains("freeinference"), "FreeInference").when(host.contains("openai.com"), "OpenAI").when(F.length(host) > 0, host)
+        .when((F.lower(provider) == "openai") | model.startswith("gpt-"), "OpenAI").otherwise(F.coalesce(F.nullif(provider, F.lit("")), F.lit("unknown")))
     )
 
 
-NOCACHE_TAG = r"^\[nocache:([0-9a-f-]+)\]\n?"
+# Keywords of phases, the first phase that has one wins.
+PROMPT_PHASES = [("backtrack", ["backtrack", "rollback", "retry"]), ("summary", ["summary", "summarize", "summarisation", "summarization"]), ("memory_write", ["memory snippet", "validated code snippet", "snippet store"])]
+LOGGED_PROMPT_PHASES = [("action_unit_backtrack", ["backtrack", "revise action unit", "rollback", "retry"]), ("summary_write", ["summary", "summarize", "summarisation", "summarization"]), ("memory_snippet_write", ["memory snippet", "validated code snippet", "snippet store"])]
+CODE_PHASES = [("memory_snippet_write", ["memory_snippet", "memory snippet", "validated_code", "snippet_store"]), ("action_unit_backtrack", ["backtrack", "rollback", "retry", "cleanup"]), ("summary_write", ["summary", "summarize", "summarization", "final_report"])]
+
+
+def prompt_phase(prompt: Column) -> Column:
+    return llm_phase(prompt, PROMPT_PHASES, "reasoning")
+
+
+def logged_prompt_phase(prompt: Column) -> Column:
+    return llm_phase(prompt, LOGGED_PROMPT_PHASES, "llm_reasoning")
+
+
+def code_phase(role: Column, code: Column) -> Column:
+    return llm_phase(F.concat(F.coalesce(role, F.lit("")), F.lit("\n"), F.substring(code, 1, 12_000)), CODE_PHASES, "code_exec", 1 << 30)
+
+
+NOCACHE_TAG = r"^(\[nocache:[0-9a-f]{32}\]\n)"
 
 
 def nocache_tag(text: Column) -> Column:
@@ -240,6 +265,7 @@ def strip_nocache_tag(text: Column) -> Column:
 
 
 def apply_nocache_tag(text: Column, tag: Column) -> Column:
+    """``tag`` is the 32 hexadecimal digits."""
     return F.concat(F.lit("[nocache:"), tag, F.lit("]\n"), text)
 
 
@@ -255,7 +281,11 @@ def human_bytes(n: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    return (
-        F.when(seconds < 1, F.format_string("%.0f ms", seconds * 1000)).when(seconds < 60, F.format_string("%.1f s", seconds))
-        .otherwise(F.format_string("%.1f min", seconds / 60))
-    )
+    """Seconds with two places, from a minute on as minutes and seconds."""
+    minutes = F.floor(seconds / 60)
+    long = F.concat(minutes.cast("string"), F.lit("m"), F.format_string("%05.2f", seconds - minutes * 60), F.lit("s"))
+    return F.when(seconds.isNull(), "n/a").when(seconds < 60, F.concat(F.format_string("%.2f", seconds), F.lit("s"))).otherwise(long)
+
+
+def percent(share: Column) -> Column:
+    return F.when(share.isNull(), "n/a").otherwise(F.concat(F.format_string("%,.2f", share * 100), F.lit("%")))
