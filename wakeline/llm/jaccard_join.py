@@ -38,7 +38,7 @@ from .tokens import mix64, shingle_hashes, slices, word_hashes
 
 _U = np.uint64
 #: Postings gathered by a map task before it sends them, and postings meant for a fragment.
-FLUSH, FRAGMENT = 1_000_000, 2_000_000
+FLUSH, FRAGMENT = 500_000, 1_000_000
 #: Fragments of the pair stage, and shingles meant for one fragment of a part.
 VERTICAL, PART = 2, 500_000
 #: Pairs that a task looks at before it goes on.

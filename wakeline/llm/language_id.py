@@ -11,8 +11,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from .base import widened
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
-_CACHE = 300_000
+_CACHE = 200_000
+#: Distinct words that a task counts before it sends them.
+FLUSH_WORDS = 100_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -36,33 +39,46 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     langs: list[str]
     prior: np.ndarray
-    #: order (0: whole words) -> gram -> log probabilities by language
-    tables: dict[int, dict[str, np.ndarray]]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, w: str) -> np.ndarray:
-        found = self.cache.get(w)
-        if found is None:
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            found = self.cache[w] = self._word(w)
-        return found
+    #: order (0: whole words) -> row of each gram, and log probabilities by row and language
+    tables: dict[int, tuple[dict[str, int], np.ndarray]]
+    #: words met so far -> rows of their scores
+    seen: dict[str, int] = field(default_factory=dict)
+    scores: np.ndarray | None = None
+
+    def rows(self, words: Iterable[str]) -> list[int]:
+        if self.scores is None:
+            self.scores = np.zeros((_CACHE, len(self.langs)), np.float32)
+        if len(self.seen) > _CACHE // 2:
+            self.seen.clear()
+        seen, out = self.seen, []
+        for w in words:
+            i = seen.get(w)
+            if i is None:
+                i = len(seen)
+                if i == len(self.scores):  # one text has more words than the table
+                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                self.scores[i] = self._word(w)
+                seen[w] = i
+            out.append(i)
+        return out
 
     def _word(self, w: str) -> np.ndarray:
-        known = self.tables[0].get(w)
-        if known is not None:
-            return known
+        rows, logs = self.tables[0]
+        if w in rows:
+            return logs[rows[w]]
         for n in ORDERS:
-            hits = [t for g in grams(w, n) if (t := self.tables[n].get(g)) is not None]
+            rows, logs = self.tables[n]
+            hits = [i for g in grams(w, n) if (i := rows.get(g)) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return logs[hits].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall((text or "").lower()))
         if not counts or not self.langs:
             return UNDETERMINED, 0.0
-        total = self.prior + np.array(list(counts.values()), float) @ np.array([self.word(w) for w in counts])
+        rows = self.rows(counts)
+        total = self.prior + np.fromiter(counts.values(), float, len(rows)) @ self.scores[rows]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -80,28 +96,41 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: s
     the most frequent entries of each order) bound what reaches the driver.
     """
     labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = labelled.select(F.col(order_by).alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    rows = labelled.join(F.broadcast(ids), labelled[order_by] == F.col("_id"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    ids = labelled.select(F.col(order_by).alias("__wl_id")).filter("__wl_id is not null").distinct().orderBy(F.xxhash64("__wl_id"), "__wl_id").limit(sample_rows)
+    rows = labelled.join(F.broadcast(ids), labelled[order_by] == F.col("__wl_id"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+    def send(by_lang: dict[str, Counter], docs: Counter) -> Iterator[pa.RecordBatch]:
+        """Counts of words and n-grams by language; one order at a time, in pieces."""
+
+        def piece(order: int, code: str, items: list[tuple[str, int]]) -> pa.RecordBatch:
+            grams_, n = zip(*items, strict=True)
+            return pa.record_batch([pa.array([order] * len(items), pa.int32()), pa.array(grams_, pa.string()), pa.array([code] * len(items), pa.string()), pa.array(n, pa.int64())], names=["n", "gram", "lang", "c"])
+
+        for code, words in by_lang.items():
+            yield piece(-1, code, [("", docs[code])])
+            for order in (0, *ORDERS):
+                c = words
+                if order:
+                    c = Counter()
+                    for w, n in words.items():
+                        for g in grams(w, order):
+                            c[g] += n
+                items = iter(c.items())
+                while part := list(islice(items, 50_000)):
+                    yield piece(order, code, part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, Counter] = {}
         docs: Counter = Counter()
         for b in batches:
-            for code, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(code, Counter()).update(_WORD.findall(t.lower()))
+            for code, t in zip(b.column(0), b.column(1), strict=True):
+                code = code.as_py()
+                by_lang.setdefault(code, Counter()).update(_WORD.findall(t.as_py().lower()))
                 docs[code] += 1
-        out: list[tuple[int, str, str, int]] = [(-1, "", code, n) for code, n in docs.items()]
-        for code, words in by_lang.items():
-            out += [(0, w, code, n) for w, n in words.items()]
-            for order in ORDERS:
-                c: Counter = Counter()
-                for w, n in words.items():
-                    for g in grams(w, order):
-                        c[g] += n
-                out += [(order, g, code, n) for g, n in c.items()]
-        for at in range(0, len(out), 100_000):
-            cols = list(zip(*out[at : at + 100_000], strict=True))
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["n", "gram", "lang", "c"])
+            if sum(map(len, by_lang.values())) > FLUSH_WORDS:
+                yield from send(by_lang, docs)
+                by_lang, docs = {}, Counter()
+        yield from send(by_lang, docs)
 
     counts = rows.mapInArrow(count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     table = (
@@ -112,15 +141,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: s
     try:
         docs = table.filter("n = -1").first()
         if docs is None:
-            return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)})
+            return Model([], np.zeros(0), {n: ({}, np.zeros((0, 0))) for n in (0, *ORDERS)})
         langs = sorted(docs["by"])
         prior = np.log(np.array([docs["by"][x] for x in langs], float) / docs["total"])
         tables = {}
         for n in (0, *ORDERS):
             top = table.filter(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(max_entries).collect()
             m = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs)) + 0.5
-            logs = np.log(m / m.sum(axis=0)) if len(top) else m
-            tables[n] = {r["gram"]: logs[i] for i, r in enumerate(top)}
+            logs = (np.log(m / m.sum(axis=0)) if len(top) else m).astype(np.float32)
+            tables[n] = ({r["gram"]: i for i, r in enumerate(top)}, logs)
     finally:
         table.unpersist()
     return Model(langs, prior, tables)
@@ -135,15 +164,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    wide = docs.select(F.col(text).alias("_text"), "*")
+    at = docs.columns.index(text)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.predict(t.as_py()) for t in b.column(0)]
+            found = [m.predict(t.as_py()) for t in b.column(at)]
             yield pa.record_batch([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return wide.mapInArrow(judge, widened(wide, "lang_pred string, score double")).drop("_text")
+    return docs.mapInArrow(judge, widened(docs, "lang_pred string, score double"))
 
 
 def accuracy(predicted: DataFrame) -> float:
