@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from wakeline.llm import lm_scoring
+from wakeline.llm.base import most_frequent
 
 DOCS = [
     (1, "the cat sat on the mat"), (2, "the cat sat on the rug the cat"), (3, "a dog ran to the cat"),
@@ -67,6 +68,11 @@ def test_empty_tables(spark):
 
 def test_most_frequent_keeps_to_its_bound(spark):
     counts = spark.range(1, 1001).selectExpr("id AS w", "id AS c")
-    kept = lm_scoring.most_frequent(counts, "c", 100)
+    kept = most_frequent(counts, "c", 100, "w")
     rows = [r["c"] for r in kept.collect()]
     assert 50 < len(rows) <= 100 and min(rows) == 1001 - len(rows)
+
+
+def test_equal_counts_keep_to_the_bound_too(spark):
+    counts = spark.range(1, 1001).selectExpr("id AS w", "7 AS c")
+    assert [r["w"] for r in most_frequent(counts, "c", 10, "w").collect()] == list(range(1, 11))

@@ -50,3 +50,18 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def widened(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with the columns of ``ddl`` behind."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def most_frequent(counts: DataFrame, by: str, limit: int, tie: str) -> DataFrame:
+    """The rows with the largest counts, at most ``limit`` of them, without a sort: all rows
+    above a count that a histogram of the counts (32 steps an octave) gives.  Only if the
+    largest counts alone are too many, ``tie`` decides."""
+    step = F.floor(F.log2(by) * 32)
+    rows = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
+    total, least = 0, None
+    for r in rows:
+        total += r["n"]
+        if total > limit:
+            break
+        least = r["s"]
+    return counts.filter(step >= least) if least is not None else counts.orderBy(F.desc(by), tie).limit(limit)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import widened
+from .base import most_frequent, widened
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -146,7 +146,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: s
         prior = np.log(np.array([docs["by"][x] for x in langs], float) / docs["total"])
         tables = {}
         for n in (0, *ORDERS):
-            top = table.filter(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(max_entries).collect()
+            top = most_frequent(table.filter(F.col("n") == n), "total", max_entries, "gram").select("gram", "by").collect()
             m = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs)) + 0.5
             logs = (np.log(m / m.sum(axis=0)) if len(top) else m).astype(np.float32)
             tables[n] = ({r["gram"]: i for i, r in enumerate(top)}, logs)

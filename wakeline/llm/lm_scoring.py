@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, small_side
+from .base import cut, most_frequent, small_side
 from .tokens import slices, word_hashes
 
 _U = np.uint64
@@ -39,20 +39,6 @@ FLUSH, FRAGMENT = 2_000_000, 4_000_000
 _MIX, _UNMIX = 2654435769, pow(2654435769, -1, 1 << 32)
 
 
-def most_frequent(counts: DataFrame, by: str, limit: int) -> DataFrame:
-    """The rows with the largest counts, at most ``limit`` of them, without a sort: all rows
-    above a count that a histogram of the counts (32 steps an octave) gives."""
-    step = F.floor(F.log2(by) * 32)
-    rows = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
-    total, least = 0, None
-    for r in rows:
-        total += r["n"]
-        if total > limit:
-            break
-        least = r["s"]
-    return counts.filter(step >= least) if least is not None else counts.orderBy(F.desc(by), *[c for c in counts.columns if c != by]).limit(limit)
-
-
 def _word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -285,7 +271,7 @@ def score(docs: DataFrame, target_ids: DataFrame, weight: float = 0.7, doc_id: s
     id_type = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("text"))
     totals = cut(_word_counts(base), "words")
-    words = np.sort(most_frequent(totals, "c", VOCABULARY - 2).select("w").toArrow().column("w").to_numpy().view(_U))
+    words = np.sort(most_frequent(totals, "c", VOCABULARY - 2, "w").select("w").toArrow().column("w").to_numpy().view(_U))
     named = target_ids.select(F.col(target_id).alias("_t")).filter("_t is not null").distinct()
     marked = _numbered(base, words).join(small_side(named, 16), F.col("d") == F.col("_t"), "left")
     numbered = cut(marked.select("d", "ids", F.col("_t").isNotNull().alias("target")), "numbered")
@@ -293,7 +279,7 @@ def score(docs: DataFrame, target_ids: DataFrame, weight: float = 0.7, doc_id: s
     tokens = numbered.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"] // 2
     parts = max(1, -(-tokens // FRAGMENT))
     counts = cut(_bigram_counts(numbered, parts), "bigrams")
-    top = most_frequent(counts, "c", HOT).select("key", "b", "t").toArrow().sort_by("key")
+    top = most_frequent(counts, "c", HOT, "key").select("key", "b", "t").toArrow().sort_by("key")
     hot = spark.sparkContext.broadcast((top.column("key").to_numpy().astype(np.uint32), np.stack([top.column(x).to_numpy().astype(np.float64) for x in ("b", "t")])))
     sent = cut(_score_hot(numbered, unigrams, hot, parts), "postings")
     rest = sent.filter("frag is not null").groupBy("frag").applyInArrow(_score_rest(unigrams), _SENT)
