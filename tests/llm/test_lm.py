@@ -60,6 +60,33 @@ def test_scores_equal_the_direct_computation(spark, monkeypatch, hot):
             assert g[2:] == (None, None, None)
 
 
+def compare(got, want):
+    by = lambda r: (str(r[0]), r[1])
+    assert len(got) == len(want)
+    for g, (d, n, background, own) in zip(sorted(map(tuple, got), key=by), sorted(want, key=by)):
+        assert (g[0], g[1]) == (d, n)
+        assert g[2:4] == ((pytest.approx(own, abs=1e-8), pytest.approx(background, abs=1e-8)) if n else (None, None))
+
+
+@pytest.mark.parametrize("numbered", [0, 1, 3])
+def test_words_without_a_number_have_counts_of_their_own(spark, monkeypatch, numbered):
+    monkeypatch.setattr(lm_scoring, "NUMBERED", numbered)
+    monkeypatch.setattr(lm_scoring, "FRAGMENT", 7)
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(1,), (6,)], "doc_id long")
+    compare(lm_scoring.score(docs, target).collect(), direct(DOCS, {1, 6}))
+
+
+def test_more_words_than_numbers(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 160 + j) % 80_000}" for j in range(200)) + " the end of the text") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_scoring.score(docs, spark.range(0, 500, 3).withColumnRenamed("id", "doc_id")).collect()
+    words = len({w for _, t in rows for w in t.split()})
+    assert words > lm_scoring.VOCABULARY
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", words)
+    compare(got, direct(rows, set(range(0, 500, 3))))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     ids = spark.createDataFrame([], "doc_id long")
