@@ -92,6 +92,26 @@ def test_boundaries_are_optimal():
     assert packing.boundaries(np.array([]), np.array([]), 3) == []
 
 
+def test_both_ways_find_the_same_boundaries(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 7, 200, 900):
+        for _ in range(5):
+            lengths, counts = np.sort(rng.choice(10 * n, n, replace=False)), rng.integers(1, 1 + rng.integers(1, 30), n)
+            monkeypatch.setattr(packing, "MAX_LENGTHS", n)
+            whole = packing.boundaries(lengths, counts, 6)
+            monkeypatch.setattr(packing, "MAX_LENGTHS", 0)
+            assert packing.boundaries(lengths, counts, 6) == whole
+    assert len(packing.boundaries(np.arange(300_000), np.ones(300_000, np.int64), 16)) == 16
+
+
+def test_one_long_document_moves_no_other_boundary(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_LENGTHS", 20)
+    sizes = [*range(10, 60), 50_000]
+    got = packing.pack(spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string"), buckets=4).collect()
+    best = min(padding(sizes, [1] * len(sizes), [*c, sizes[-2], sizes[-1]]) for c in itertools.combinations(sizes[:-2], 2))
+    assert sum(r["padding"] for r in got) == best
+
+
 @pytest.mark.parametrize("most", [6000, 5])
 def test_batches(spark, monkeypatch, most):
     monkeypatch.setattr(packing, "MAX_LENGTHS", most)

@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from .base import cut, small_side
 
-#: Distinct lengths that the exact dynamic programme takes; more are rounded up to a grid first.
+#: Distinct lengths for which the dynamic programme tries every cut; with more it divides and
+#: conquers.  Both find the same cuts.
 MAX_LENGTHS = 6000
 #: Rows of one block of ranks.
 BLOCK_ROWS = 50_000
@@ -26,6 +27,34 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _every_cut(best: np.ndarray, value: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """For each last length but the first, the smallest best end of the buckets before."""
+    out = np.zeros(len(value), np.int64)
+    for j in range(1, len(value)):
+        out[j] = (best[:j] - value[j] * rows[1 : j + 1] + tokens[1 : j + 1]).argmin()
+    return out
+
+
+def _divided(best: np.ndarray, value: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The same by divide and conquer, all ranges of one depth at once: the padding meets the
+    quadrangle inequality, so the best ends ascend with the last length."""
+    out = np.zeros(len(value), np.int64)
+    first, last = np.array([1]), np.array([len(value) - 1])
+    low, high = np.array([0]), np.array([len(value) - 2])
+    while len(first):
+        j = (first + last) // 2
+        size = np.minimum(high, j - 1) - low + 1
+        start = np.cumsum(size) - size
+        k = np.arange(size.sum()) + np.repeat(low - start, size)
+        cost = best[k] - np.repeat(value[j], size) * rows[k + 1] + tokens[k + 1]
+        at = np.flatnonzero(cost == np.repeat(np.minimum.reduceat(cost, start), size))
+        out[j] = k[at[np.searchsorted(at, start)]]
+        first, last, low, high = (np.concatenate(x) for x in ((first, j + 1), (j - 1, last), (low, out[j]), (out[j], high)))
+        some = first <= last
+        first, last, low, high = first[some], last[some], low[some], high[some]
+    return out
+
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` upper bounds with the least total padding.
 
@@ -35,20 +64,19 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     n = len(lengths)
     if not n:
         return []
-    value = lengths.astype(np.float64)
-    rows = np.concatenate([[0.0], np.cumsum(counts, dtype=np.float64)])
-    tokens = np.concatenate([[0.0], np.cumsum(value * counts)])
+    value = lengths.astype(np.int64)
+    rows = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    tokens = np.concatenate([[0], np.cumsum(value * counts)])
+    cuts = _every_cut if n <= MAX_LENGTHS else _divided
     best = value * rows[1:] - tokens[1:]  # one bucket over lengths[: j + 1]
     choice = []
     for _ in range(1, min(buckets, n)):
-        nxt, cut_at = np.empty(n), np.zeros(n, np.int64)
-        nxt[0] = 0.0
-        for j in range(1, n):
-            cost = best[:j] + value[j] * (rows[j + 1] - rows[1 : j + 1]) - (tokens[j + 1] - tokens[1 : j + 1])
-            k = int(cost.argmin())
-            nxt[j], cut_at[j] = (cost[k], k + 1) if cost[k] < best[j] else (best[j], 0)
-        choice.append(cut_at)
-        best = nxt
+        k = cuts(best, value, rows, tokens)
+        cost = best[k] + value * (rows[1:] - rows[k + 1]) - (tokens[1:] - tokens[k + 1])
+        less = cost < best
+        less[0] = False
+        choice.append(np.where(less, k + 1, 0))
+        best = np.where(less, cost, best)
     out, j = [], n - 1
     for cut_at in [*reversed(choice), None]:
         out.append(int(lengths[j]))
@@ -70,21 +98,19 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, length:
     rows; repeated rows get slots of their own.  An empty table gives no rows.
     """
     lengths = cut(docs.select(F.col(doc_id).alias("doc_id"), (length if length is not None else word_count(text)).alias("n_tokens"), F.xxhash64(text).alias("_h")), "lengths")
-    grid = lengths.agg(F.max("n_tokens").alias("m"), F.count_distinct("n_tokens").alias("k"), F.count(F.lit(1)).alias("n")).first()
-    step = 1 if (grid["k"] or 0) <= MAX_LENGTHS else -(-grid["m"] // MAX_LENGTHS)
-    padded = (F.ceil(F.col("n_tokens") / step) * step).cast("long")
-    histogram = lengths.groupBy(padded.alias("len")).agg(F.count(F.lit(1)).alias("n")).orderBy("len").collect()  # at most MAX_LENGTHS + 1 rows
-    bounds = boundaries(np.array([r["len"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), buckets)
+    histogram = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    sizes, counts = (histogram.column(c).to_numpy() for c in ("n_tokens", "n"))
+    bounds = boundaries(sizes, counts, buckets)
     if not bounds:
         bounds = [0]
-    blocks = max(16, -(-grid["n"] // BLOCK_ROWS))
+    blocks = max(16, -(-int(counts.sum()) // BLOCK_ROWS))
     placed = lengths.withColumns({
         "bucket_len": F.element_at(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b >= F.col("n_tokens")), 1),
         "_block": F.pmod(F.xxhash64("doc_id", "_h"), F.lit(blocks)).cast("int"),
     })
-    counts = placed.groupBy("bucket_len", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    in_block = placed.groupBy("bucket_len", "_block").agg(F.count(F.lit(1)).alias("_n"))
     per_bucket = Window.partitionBy("bucket_len").orderBy("_block")
-    offsets = counts.select("bucket_len", "_block", (F.sum("_n").over(per_bucket) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("bucket_len")).alias("_all"))
+    offsets = in_block.select("bucket_len", "_block", (F.sum("_n").over(per_bucket) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("bucket_len")).alias("_all"))
     inside = Window.partitionBy("bucket_len", "_block").orderBy("doc_id", "_h")
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     ranked = (
