@@ -1,8 +1,9 @@
 """MPEG audio columns: frame index, tags, variable-bitrate tables, checksums, exact durations.
 
 ``index_audio`` works on any bytes: it skips ID3v2/ID3v1/APEv2 tags, finds frame
-headers again after garbage, reads Xing/Info and VBRI tables, verifies the 16-bit
-frame checksums, and reports the exact number of samples and the offset of every
+headers again after garbage, reads Xing/Info tables and the byte and frame counts of
+VBRI tables (not their seek entries), verifies the 16-bit checksums of Layer III frames
+(those of Layers I and II are not verified), and reports the exact number of samples and the offset of every
 frame.  ``pack_payload`` / ``unpack_payload`` store arbitrary bytes losslessly in
 the main data of valid Layer III frames, with the payload length in a tag.
 """
