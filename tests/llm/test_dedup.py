@@ -5,7 +5,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from wakeline.llm import jaccard_join, line_dedup, suffix_dedup
+from wakeline.llm import components, jaccard_join, line_dedup, suffix_dedup
 
 
 def make(spark, rows, extra=True):
@@ -150,9 +150,12 @@ def components_by_hand(rows, k, percent):
 
 @pytest.mark.parametrize("part", [500_000, 40])
 def test_components(spark, monkeypatch, part):
-    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "BLOCK", part)
     monkeypatch.setattr(jaccard_join, "FRAGMENT", 300)
-    monkeypatch.setattr(jaccard_join, "PAIRS", 50)
+    if part == 40:  # the ways taken beyond the sizes that one task or a broadcast may have
+        monkeypatch.setattr(jaccard_join, "HUB", 2)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(components, "TASK_EDGES", 3)
     rng = random.Random(part)
     passage = [f"p{i}" for i in range(25)]
     rows = []
@@ -174,6 +177,26 @@ def test_components(spark, monkeypatch, part):
     assert sum(1 for r in kept if not (r["text"] or "").strip(" \t\n")) == 3
 
 
+@pytest.mark.parametrize("most", [2_000_000, 5])
+def test_connected(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    rng = random.Random(most)
+    edges = [(i, i + 1) for i in range(40)] + [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(40)] + [(7, 7), (3, 2), (None, 5)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            lo, hi = sorted((root(a), root(b)))
+            up[hi] = lo
+    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {x: root(x) for e in edges if None not in e and e[0] != e[1] for x in e}
+
+
 def test_no_rows(spark):
     assert jaccard_join.jaccard_components(make(spark, [])).count() == 0
     assert jaccard_join.jaccard_components(make(spark, [(1, "a b c d e f g")])).collect()[0][:3] == (1, 3, 1)

@@ -8,15 +8,17 @@ the fragments give the overlap of a pair.  What keeps the work in proportion:
 * half of the hash space is indexed first; a class stays only if so many of its
   indexed shingles occur in other classes as a link at the threshold implies;
 * links need a common shingle among the rarest ``n - ceil(t n) + 1`` of both sides.
-  Stars around a pivot of each such shingle split the classes into clusters between
-  which no link is possible; clusters are packed into parts that fit a task, and only
-  a cluster that does not fit is cut into more fragments than ``VERTICAL``;
-* the stars' own pairs are verified first and contracted to components.  Of pairs
-  between different components, only those whose segments reach the threshold in at
-  least one fragment are summed: if all partial overlaps were below it, so would be
-  their sum.  Two rounds take each class's closest such partners and contract again;
-  the last one takes all that remain, so no pair that could join two components is
-  left out.
+  Stars around a pivot of each such shingle give the first pairs, which are verified
+  and contracted to components: a group of near copies is mostly one from here on;
+* only shingles that several components hold matter after that.  They tie the classes
+  into clusters between which no link is possible.  Small clusters are packed into
+  parts; a large one is cut into blocks, and every two blocks form a group, so that
+  tasks follow the pairs that are looked at and no cluster fills one;
+* of pairs between different components, only those whose segments reach the threshold
+  in at least one fragment are summed: if all partial overlaps were below it, so would
+  be their sum.  A first round takes the closest of these for each component and
+  contracts again; the last takes all that remain, so no pair that could join two
+  components is left out.
 
 Hashes of shingles and sets are 64 bits wide: a pair of unequal sets is taken for
 equal with probability 2**-64.
@@ -32,19 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import cut, small_side
+from .base import BROADCAST_BYTES, cut, small_side
 from .components import connected
 from .tokens import mix64, shingle_hashes, slices, word_hashes
 
 _U = np.uint64
 #: Postings gathered by a map task before it sends them, and postings meant for a fragment.
 FLUSH, FRAGMENT = 500_000, 1_000_000
-#: Fragments of the pair stage, and shingles meant for one fragment of a part.
-VERTICAL, PART = 2, 500_000
-#: Pairs that a task looks at before it goes on.
+#: Fragments of the pair stage, and shingles of one block of a cluster.
+VERTICAL, BLOCK = 2, 100_000
+#: Pairs that a task looks at at a time.
 PAIRS = 1_000_000
-#: Partners of a class in the rounds before the last.
-CLOSEST = 2
+#: Pairs of one class that are verified in one task.
+HUB = 500
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,64 +213,45 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cid long, n long, toks array<long>")
 
 
-_SEGMENTS = "part int, frag int, cid long, n long, seg binary"
-
-
-def _segments(sets: DataFrame) -> DataFrame:
-    """A row for each set (toks, part, cuts) and each of its ``cuts`` fragments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            toks = b.column(2)
-            at, flat = toks.offsets.to_numpy(), toks.values.to_numpy().view(_U)
-            for i, (cid, n, part, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                own = flat[at[i] : at[i + 1]]
-                edge = np.searchsorted(_fragment(own, cuts), np.arange(cuts + 1, dtype=_U)).tolist()
-                for f in range(cuts):
-                    if edge[f + 1] > edge[f]:
-                        for x, value in zip(out, (part, f, cid, n, own[edge[f] : edge[f + 1]].tobytes()), strict=True):
-                            x.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["part", "frag", "cid", "n", "seg"])
-
-    return sets.select("cid", "n", "toks", "part", "cuts").mapInArrow(run, _SEGMENTS)
+def _pieces(sets: DataFrame) -> DataFrame:
+    """(cid, n, frag, seg): each set (toks) cut by the ranges of the global order."""
+    frag = F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1))).alias("frag")
+    inside = F.filter("toks", lambda x: F.shiftright(F.shiftrightunsigned(x, 33) * VERTICAL, 31) == F.col("frag"))
+    return sets.select("cid", "n", "toks", frag).select("cid", "n", "frag", inside.alias("seg"))
 
 
 class _Fragment:
-    """The entries (shingle, class) of one fragment of a part, ordered by shingle."""
+    """The entries (shingle, class) of one fragment of a part, by class and then by shingle."""
 
     def __init__(self, t: pa.Table) -> None:
-        cid = t.column("cid").to_numpy()
-        self.cid, self.first = np.unique(cid, return_index=True)
-        self.n = t.column("n").to_numpy()[self.first]
-        segs = t.column("seg")
-        parts = [np.frombuffer(segs[int(i)].as_py(), _U) for i in self.first]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
-        tok = np.concatenate(parts) if parts else np.zeros(0, _U)
-        who = np.repeat(np.arange(len(parts)), self.sizes)
-        rank = np.unique(tok, return_inverse=True)[1].reshape(-1)
-        self.width = int(rank.max(initial=0)) + 1
-        self.own = rank  # by class, ascending
-        self.codes = who * self.width + rank
-        df = np.bincount(rank, minlength=1)[rank]
+        self.cid, self.n, self.comp = (t.column(c).to_numpy() for c in ("cid", "n", "comp"))
+        segs = t.column("seg").combine_chunks()
+        at = segs.offsets.to_numpy().astype(np.int64)
+        tok = segs.values.to_numpy()[at[0] : at[-1]].view(_U) if len(at) else np.zeros(0, _U)
+        self.sizes, self.begin = np.diff(at), at - at[:1]
+        who = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.own = np.unique(tok, return_inverse=True)[1].reshape(-1)
+        self.width = int(self.own.max(initial=0)) + 1
+        self.codes = who * self.width + self.own
+        df = np.bincount(self.own, minlength=1)[self.own]
         # the rarest shingles of each segment that a partner at the threshold must share
-        self.by_rarity = np.lexsort((rank, df, who))
-        self.who, self.rank, self.df = who, rank, df
+        self.by_rarity = np.lexsort((self.own, df, who))
+        self.who, self.df = who, df
 
-    def prefix(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(shingle, class) of all segments' prefixes that other segments hold too, by shingle."""
+    def prefix(self, percent: int, side: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Shingle, class and place of all segments' prefixes that other segments hold too, by shingle and side."""
         o = self.by_rarity
         place = np.arange(len(o)) - np.repeat(self.begin[:-1], self.sizes)
         allowed = np.repeat(self.sizes - _least_overlap(self.sizes, percent) + 1, self.sizes)
-        o = o[(place < allowed) & (self.df[o] > 1)]
-        o = o[np.argsort(self.rank[o], kind="stable")]
-        return self.rank[o], self.who[o]
+        keep = (place < allowed) & (self.df[o] > 1)
+        o, place = o[keep], place[keep]
+        by = np.lexsort((side[self.who[o]], self.own[o]))
+        return self.own[o][by], self.who[o][by], place[by]
 
     def overlaps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common shingles of the segments of x and y, pair by pair."""
         out = np.zeros(len(x), np.int64)
-        step = max(1, PAIRS // max(1, int(self.sizes.mean())))
+        step = max(1, PAIRS // max(1, int(self.sizes.max(initial=1))))
         for at in range(0, len(x), step):
             a, b = x[at : at + step], y[at : at + step]
             n = self.sizes[a]
@@ -280,96 +263,76 @@ class _Fragment:
         return out
 
 
-_PAIRS = "part int, a long, b long, na long, nb long"
-
-
 def _close_pairs(percent: int, full: bool):
     """Pairs of classes of different components whose segments reach the threshold in this fragment:
-    all of them, or the ``CLOSEST`` of each class."""
+    all of them, or the closest of each component.
+
+    A group holds one block of a part, or two of them (sides 0 and 1), between which pairs are formed.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         f = _Fragment(t)
-        comp = t.column("comp").to_numpy()[f.first]
-        rank, who = f.prefix(percent)
-        starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(starts, len(rank)))
-        m = len(f.cid)
-        seen: list[np.ndarray] = []
-        held = 0
-        kept = np.zeros(0, np.int64)
-
-        def settle() -> None:
-            nonlocal kept, held
-            codes = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-            seen.clear()
-            held = 0
+        side, m = t.column("side").to_numpy(), max(1, len(f.cid))
+        rank, who, place = f.prefix(percent, side)
+        edge = np.flatnonzero(np.concatenate([rank[1:] != rank[:-1], [True]])) + 1 if len(rank) else np.zeros(0, np.int64)
+        to = np.repeat(edge, np.diff(edge, prepend=0))  # where the list of each entry ends
+        since = np.arange(len(rank)) + 1
+        if side.any():
+            both = side[who]
+            since = np.repeat(edge - np.add.reduceat(both, edge - np.diff(edge, prepend=0)), np.diff(edge, prepend=0)) if len(edge) else since
+            since = np.where(both == 0, since, to)
+        many = np.maximum(0, to - since)
+        ends = np.cumsum(many)
+        kept = [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(many):
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            e = np.repeat(np.arange(at, last), many[at:last])
+            o = np.arange(len(e)) - np.repeat(ends[at:last] - many[at:last] - (ends[at - 1] if at else 0), many[at:last]) + since[e]
+            a, b = who[e], who[o]
+            # sizes and places in the order bound what two segments can have in common
+            x, y = f.sizes[a], f.sizes[b]
+            most = np.minimum(x - place[e], y - place[o])
+            ok = (f.comp[a] != f.comp[b]) & (100 * np.minimum(f.n[a], f.n[b]) >= percent * np.maximum(f.n[a], f.n[b])) & (100 * most >= percent * (x + y - most))
+            codes = np.unique(np.minimum(a[ok], b[ok]) * m + np.maximum(a[ok], b[ok]))
             a, b = codes // m, codes % m
             common = f.overlaps(a, b)
-            near = 100 * common >= percent * (f.sizes[a] + f.sizes[b] - common)
-            kept = np.union1d(kept, codes[near])
-
-        def look(a: np.ndarray, b: np.ndarray) -> None:
-            nonlocal held
-            small, large = np.minimum(f.n[a], f.n[b]), np.maximum(f.n[a], f.n[b])
-            less, more = np.minimum(f.sizes[a], f.sizes[b]), np.maximum(f.sizes[a], f.sizes[b])
-            ok = (comp[a] != comp[b]) & (100 * small >= percent * large) & (100 * less >= percent * more)
-            codes = np.unique(np.minimum(a[ok], b[ok]) * m + np.maximum(a[ok], b[ok]))
-            seen.append(codes)
-            held += len(codes)
-            if held > PAIRS:
-                settle()
-
-        for r in np.unique(runs[runs > 1]).tolist():
-            lists = starts[runs == r]
-            if r * r < PAIRS:
-                i, j = np.triu_indices(r, 1)
-                step = max(1, PAIRS // len(i))
-                for at in range(0, len(lists), step):
-                    ids = who[lists[at : at + step, None] + np.arange(r)]
-                    look(ids[:, i].reshape(-1), ids[:, j].reshape(-1))
-            else:
-                for s in lists.tolist():
-                    ids = who[s : s + r]
-                    step = max(1, PAIRS // r)
-                    for at in range(0, r, step):
-                        a = np.repeat(ids[at : at + step], r)
-                        b = np.tile(ids, len(a) // r)
-                        look(a[a < b], b[a < b])
-        settle()
-        a, b = kept // max(1, m), kept % max(1, m)
-        if not full and len(kept):
+            kept.append(codes[100 * common >= percent * (f.sizes[a] + f.sizes[b] - common)])
+            at = last
+        codes = np.unique(np.concatenate(kept))
+        if not full and len(codes):
+            a, b = codes // m, codes % m
             common = f.overlaps(a, b)
             share = common / (f.sizes[a] + f.sizes[b] - common)
-            who, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-            order = np.lexsort((pair, -share[pair], who))
-            first = np.searchsorted(who[order], who[order])
-            pair = np.unique(pair[order[np.arange(len(order)) - first < CLOSEST]])
-            a, b = a[pair], b[pair]
-        return pa.table({"part": pa.array(np.full(len(a), t.column("part")[0].as_py(), np.int32)), "a": f.cid[a], "b": f.cid[b], "na": f.n[a], "nb": f.n[b]})
+            comp, pair = np.concatenate([f.comp[a], f.comp[b]]), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((pair, -share[pair], comp))
+            first = np.concatenate([[True], comp[order][1:] != comp[order][:-1]])
+            codes = codes[np.unique(pair[order[first]])]
+        a, b = f.cid[codes // m], f.cid[codes % m]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-def _partial_overlaps(pairs: pa.Table, segs: pa.Table) -> pa.Table:
-    """Per pair the overlap inside one fragment of a part."""
-    if not pairs.num_rows or not segs.num_rows:
-        return pa.table({x: pa.array([], pa.int64()) for x in ("a", "b", "common")})
-    f = _Fragment(segs)
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    ia, ib = (np.minimum(np.searchsorted(f.cid, x), len(f.cid) - 1) for x in (a, b))
-    ok = (f.cid[ia] == a) & (f.cid[ib] == b)
-    common = f.overlaps(ia[ok], ib[ok])
-    some = common > 0
-    return pa.table({"a": a[ok][some], "b": b[ok][some], "common": common[some]})
-
+def _verified(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a table whose partial overlaps, counted fragment by fragment, sum up to the threshold.
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (part, cuts, a, b, na, nb) whose summed partial overlaps reach the threshold."""
-    pairs = cut(pairs.distinct(), "pairs")
-    spread = pairs.select("part", "a", "b", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("frag"))
-    parts = spread.groupBy("part", "frag").cogroup(segments.groupBy("part", "frag")).applyInArrow(_partial_overlaps, "a long, b long, common long")
-    sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return pairs.join(sums, ["a", "b"]).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    Every pair is a group of its own, so no class with many pairs meets in one task.  Its
+    pieces come to it by broadcast pairs, or, where these are too many, by a join that
+    deals the pairs of a class with more than ``HUB`` of them to several tasks.
+    """
+    ends = pairs.select(F.col("a").alias("cid"), "a", "b").union(pairs.select(F.col("b").alias("cid"), "a", "b"))
+    if pairs.count() * 48 <= BROADCAST_BYTES:
+        met = pieces.join(F.broadcast(ends), "cid")
+    else:
+        hubs = ends.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts"))
+        dealt = ends.join(hubs, "cid").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("salts")).cast("int")).drop("salts")
+        met = pieces.join(hubs, "cid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(dealt, ["cid", "salt"])
+    both = met.groupBy("a", "b").agg(F.collect_list(F.when(F.col("cid") == F.col("a"), F.struct("frag", "n", "seg"))).alias("x"), F.collect_list(F.when(F.col("cid") == F.col("b"), F.struct("frag", "n", "seg"))).alias("y"))
+    other = lambda x: F.filter("y", lambda y: y["frag"] == x["frag"])[0]["seg"]
+    common = F.aggregate("x", F.lit(0), lambda n, x: n + F.size(F.array_intersect(x["seg"], other(x))))
+    sums = both.select("a", "b", common.alias("common"), (F.col("x")[0]["n"] + F.col("y")[0]["n"]).alias("n"))
+    return sums.filter(100 * F.col("common") >= percent * (F.col("n") - F.col("common"))).select("a", "b")
 
 
 def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -396,60 +359,50 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame,
     common = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     rare = Window.partitionBy("cid").orderBy("df", "tok")
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = (
-        tokens.join(common, "tok")
-        .withColumns({"at": F.row_number().over(rare), "m": F.count(F.lit(1)).over(Window.partitionBy("cid"))})
-        .filter(F.col("at") + F.col("n") - F.col("m") <= need)
-        .select("cid", "n", "tok")
-    )
+    place = F.row_number().over(rare) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cid")) - 1
+    prefix = tokens.join(common, "tok").withColumn("place", place).filter(F.col("place") < need).select("cid", "n", "tok", "place")
     prefix = cut(prefix, "prefix")
     # two pivots of each shingle: one that its neighbours mostly share, for some shingles one at random
-    mixed = F.xxhash64("cid", "tok")
-    pivots = prefix.groupBy("tok").agg(F.min(F.struct("cid", "n")).alias("p"), F.max_by(F.struct("cid", "n"), mixed).alias("q"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    mixed, whole = F.xxhash64("cid", "tok"), F.struct("cid", "n", "place")
+    pivots = prefix.groupBy("tok").agg(F.min(whole).alias("p"), F.max_by(whole, mixed).alias("q"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     both = F.when(F.pmod("tok", F.lit(16)) == 0, F.array("p", "q")).otherwise(F.array("p"))
-    stars = prefix.join(pivots.select("tok", F.explode(both).alias("p")), "tok").filter(F.col("cid") != F.col("p.cid"))
-    stars = stars.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"), F.when(F.col("cid") < F.col("p.cid"), F.col("n")).otherwise(F.col("p.n")).alias("na"), F.when(F.col("cid") < F.col("p.cid"), F.col("p.n")).otherwise(F.col("n")).alias("nb"))
-    stars = cut(stars.distinct(), "stars")
-
-    # clusters, packed into parts of about PART shingles a fragment
-    clusters = connected(stars).withColumnsRenamed({"node": "cid", "root": "cluster"})
-    placed = sets.select("cid", "n").join(clusters, "cid")  # a set without a partner for its prefix has no links
-    sizes = placed.groupBy("cluster").agg(F.sum("n").alias("size"))
-    room = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    bins = max(1, -(-room // (VERTICAL * PART)))
-    own_part = F.col("size") > VERTICAL * PART
-    where = sizes.select(
-        "cluster", F.when(own_part, -1 - F.pmod(F.xxhash64("cluster"), F.lit((1 << 31) - 1))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))).cast("int").alias("part"),
-        F.when(own_part, F.ceil(F.col("size") / PART)).otherwise(VERTICAL).cast("int").alias("cuts"),
-    )
-    state = cut(placed.join(where, "cluster").select("cid", "cluster", "part", "cuts"), "state")
-    segments = cut(_segments(sets.join(state, "cid")), "segments")
+    most = F.least(F.col("n") - F.col("place"), F.col("p.n") - F.col("p.place"))
+    fit = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (100 * most >= percent * (F.col("n") + F.col("p.n") - most))
+    stars = prefix.join(pivots.select("tok", F.explode(both).alias("p")), "tok").filter((F.col("cid") != F.col("p.cid")) & fit)
+    stars = cut(stars.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct(), "stars")
 
     # ids with several rows tie the classes of these rows together
-    twice = profile.filter("n > 0 and doc_id is not null").select("doc_id", "cid").distinct()
-    least = twice.groupBy("doc_id").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    links = twice.join(least, "doc_id").filter("a <> cid").select("a", F.col("cid").alias("b"))
-
-    where = state.select(F.col("cid").alias("a"), "part", "cuts")
-    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    near = _verified(stars.filter(fit).join(where, "a").select("part", "cuts", "a", "b", "na", "nb"), segments, percent)
-    roots = cut(connected(near.union(links)), "roots")
-    for last in (False, False, True):
-        comp = state.join(roots, state["cid"] == roots["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"))
-        close = segments.join(comp, "cid").groupBy("part", "frag").applyInArrow(_close_pairs(percent, last), _PAIRS)
-        found = cut(_verified(close.join(where.drop("part"), "a").select("part", "cuts", "a", "b", "na", "nb"), segments, percent), "found")
-        if not found.isEmpty():
-            roots = _contracted(roots, found)
+    least = profile.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z").select("doc_id", "a")
+    links = profile.filter("n > 0").join(small_side(cut(least, "twice"), 24), "doc_id").filter("a <> cid").select("a", F.col("cid").alias("b"))
+    pieces = cut(_pieces(sets), "pieces")
+    roots = connected(_verified(stars, pieces, percent).union(links))
+    for last in (False, True):
+        known = prefix.join(small_side(roots, 16), prefix["cid"] == roots["node"], "left").select("cid", "tok", F.coalesce("root", "cid").alias("comp"))
+        pairs = cut(_open_pairs(known, sets.select("cid", "n"), pieces, percent, last), "pairs")
+        found = _verified(pairs, pieces, percent)
+        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
     return profile, roots
 
 
-def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) after links between nodes of different components (nodes without a row are their own)."""
-    joined = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    over = connected(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    over = cut(over.withColumnsRenamed({"node": "n2", "root": "r2"}), "over")
-    old = roots.join(over, roots["root"] == over["n2"], "left").select("node", F.coalesce("r2", "root").alias("root"))
-    return cut(old.union(over.select(F.col("n2").alias("node"), F.col("r2").alias("root"))).distinct(), "roots")
+def _open_pairs(known: DataFrame, sizes: DataFrame, pieces: DataFrame, percent: int, full: bool) -> DataFrame:
+    """Close pairs (a, b) of different components, given the prefixes of all classes (cid, tok, comp)."""
+    # shingles that classes of several components hold, and the clusters that these tie together
+    mixed = known.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("cid").alias("p")).filter("x <> y").select("tok", "p")
+    ties = cut(known.join(mixed, "tok").select(F.col("cid").alias("a"), F.col("p").alias("b"), "comp"), "ties")
+    clusters = connected(ties)
+    state = sizes.join(small_side(clusters, 16), sizes["cid"] == clusters["node"]).select("cid", "n", F.col("root").alias("cluster"))
+    state = cut(state.join(small_side(ties.select(F.col("a").alias("cid"), "comp").distinct(), 16), "cid"), "state")
+
+    # small clusters are packed into parts; of a large one, every two blocks form a group of their own
+    size = state.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.sum("n").alias("size"))
+    size = cut(size, "sizes")
+    room = size.filter("blocks = 1").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    part = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-room // BLOCK)))))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = state.join(small_side(size, 20), "cluster").select("cid", "comp", "blocks", part.alias("part"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cid", "comp", "blocks", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    close = pieces.join(dealt, "cid").groupBy("blocks", "part", "i", "j", "frag").applyInArrow(_close_pairs(percent, full), "a long, b long")
+    return close.distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
