@@ -97,7 +97,13 @@ def test_most_frequent_keeps_to_its_bound(spark):
     counts = spark.range(1, 1001).selectExpr("id AS w", "id AS c")
     kept = most_frequent(counts, "c", 100, "w")
     rows = [r["c"] for r in kept.collect()]
-    assert 50 < len(rows) <= 100 and min(rows) == 1001 - len(rows)
+    assert sorted(rows) == list(range(901, 1001))
+
+
+def test_the_step_at_the_limit_fills_it(spark):
+    counts = spark.range(0, 100_000).selectExpr("id AS w", "CASE WHEN id < 10 THEN 100 ELSE 1 END AS c")
+    kept = most_frequent(counts, "c", 50_000, "w")
+    assert kept.count() == 50_000 and kept.filter("w < 50000").count() == 50_000 and most_frequent(counts, "c", 100_000, "w").count() == 100_000
 
 
 def test_equal_counts_keep_to_the_bound_too(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all
+    executors run inside this machine's driver."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("spark.wakeline.scratch", None)
         if not at:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
             at = tempfile.mkdtemp(prefix="wakeline-")
             spark.conf.set("spark.wakeline.scratch", at)
     return at.rstrip("/")
@@ -34,7 +39,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/wakeline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wakeline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote.  For tables that nothing reads any more: what was made of
+    them has reached the driver or a table of its own, from which lost work starts again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._wakeline_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -53,15 +69,15 @@ def widened(df: DataFrame, ddl: str) -> T.StructType:
 
 
 def most_frequent(counts: DataFrame, by: str, limit: int, tie: str) -> DataFrame:
-    """The rows with the largest counts, at most ``limit`` of them, without a sort: all rows
-    above a count that a histogram of the counts (32 steps an octave) gives.  Only if the
-    largest counts alone are too many, ``tie`` decides."""
+    """The ``limit`` rows with the largest counts (all rows, if there are no more), the smallest ``tie``
+    first among equals.  A histogram of the counts (32 steps an octave) says which steps are in as a
+    whole; only the rows of the step at the limit are sorted."""
     step = F.floor(F.log2(by) * 32)
     rows = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
-    total, least = 0, None
+    total = 0
     for r in rows:
+        if total + r["n"] > limit:
+            edge = counts.filter(step == r["s"]).orderBy(F.desc(by), tie).limit(limit - total)
+            return counts.filter(step > r["s"]).unionAll(edge) if total else edge
         total += r["n"]
-        if total > limit:
-            break
-        least = r["s"]
-    return counts.filter(step >= least) if least is not None else counts.orderBy(F.desc(by), tie).limit(limit)
+    return counts

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import BROADCAST_BYTES, cut, small_side
+from .base import BROADCAST_BYTES, cut, discard, small_side
 from .components import connected
 from .tokens import mix64, shingle_hashes, slices, word_hashes
 
@@ -381,6 +381,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame,
         pairs = cut(_open_pairs(known, sets.select("cid", "n"), pieces, percent, last), "pairs")
         found = _verified(pairs, pieces, percent)
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        discard(pairs)
+    discard(alive, sets, prefix, stars, pieces)
     return profile, roots
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, most_frequent, small_side
+from .base import cut, discard, most_frequent, small_side
 from .tokens import mix64, slices, word_hashes
 
 _U = np.uint64
@@ -385,12 +385,15 @@ def score(docs: DataFrame, target_ids: DataFrame, weight: float = 0.7, doc_id: s
     marked = _numbered(base, words).join(small_side(named, 16), F.col("d") == F.col("_t"), "left")
     numbered = cut(marked.select("d", "ids", "rare", F.col("_t").isNotNull().alias("target")), "numbered")
     unigrams = spark.sparkContext.broadcast(Unigrams([tuple(r) for r in zip(*(c.to_pylist() for c in _unigrams(numbered).toArrow().columns), strict=True)], weight, totals.count()))
+    discard(totals)
     tokens = numbered.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"] // 2
     parts = max(1, -(-tokens // FRAGMENT))
     counts = cut(_bigram_counts(numbered, parts), "bigrams")
     top = most_frequent(counts, "c", HOT, "key").select("key", "b", "t").toArrow().sort_by("key")
     hot = spark.sparkContext.broadcast((top.column("key").to_numpy().astype(np.uint32), np.stack([top.column(x).to_numpy().astype(np.float64) for x in ("b", "t")])))
+    discard(counts)
     sent = cut(_score_hot(numbered, unigrams, hot, parts), "postings")
+    discard(numbered)
     rest = sent.filter(F.col("frag") < parts).groupBy("frag").applyInArrow(_score_rest(unigrams), _SENT)
     ends = cut(sent.filter(F.col("frag").between(parts, 2 * parts - 1)).groupBy("frag").applyInArrow(_score_ends(unigrams, parts), _SENT), "ends")
     later = sent.filter(F.col("frag") >= 2 * parts).union(ends.filter("frag is not null"))
