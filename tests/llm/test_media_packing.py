@@ -26,6 +26,24 @@ def test_round_trip(size):
     assert x["table"]["frames"] == len(x["seek"]) and x["samples"] == 1152 * len(x["seek"]) and x["table"]["bytes"] == len(stored) - x["audio_start"]
 
 
+MARKS = [b"TAG", b"APETAGEX", b"ID3\4\0\0\0\0\0\x20", b"Xing", b"Info", b"VBRI", b"LAME", b"\xff\xfb\xe4\x00", b"\xff\xfb", b"\xff"]
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_payloads_that_look_like_audio(mark):
+    for size in (64, 128, 192, 960, 1024, 1984, 2048):
+        for at in [*range(0, min(size, 70)), *range(max(0, size - 200), size - len(mark) + 1)]:
+            payload = (b"a" * at + mark + b"b" * size)[:size]
+            stored = media.pack_payload(payload)
+            x = media.index_audio(stored)
+            assert media.unpack_payload(stored, x) == payload and x["skipped"] == 0, (size, at)
+        payload = (mark * size)[:size]
+        assert media.unpack_payload(media.pack_payload(payload)) == payload
+    tagged = media.pack_payload(b"x" * 64) + b"TAG" + b"title".ljust(30, b"\0") + bytes(95)
+    x = media.index_audio(tagged)
+    assert x["tags"]["title"] == "title" and media.unpack_payload(tagged, x) == b"x" * 64
+
+
 def test_damage_is_found_and_frames_are_found_again():
     payload = bytes(range(1, 65)) * 400
     stored = media.pack_payload(payload)

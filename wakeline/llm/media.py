@@ -85,8 +85,15 @@ def _text(raw: bytes) -> str:
     return raw[1:].decode(coding, "replace").rstrip("\0")
 
 
+def _stated_end(data: bytes, start: int) -> int:
+    """Where the audio ends by the byte count of a table in the frame at ``start``; without one, ``start``."""
+    h = header(int.from_bytes(data[start : start + 4], "big"))
+    stated = start + ((_table(data, start, h) or {}).get("bytes", 0) if h else 0)
+    return stated if stated <= len(data) else start
+
+
 def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """(tags, where audio starts, where it ends)."""
+    """(tags, where audio starts, where it ends).  Bytes that a table counts as audio are no closing tag."""
     tags: dict[str, str] = {}
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end:
@@ -105,14 +112,15 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 tags[name] = _text(value)
             at += 10 + n
         start = min(end, start + 10 + size + (10 if flags & 0x10 else 0))
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
+    audio = _stated_end(data, start)
+    if end - audio >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 tags.setdefault(name, value)
-    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+    if end - audio >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], struct.unpack("<I", data[end - 12 : end - 8])[0]
-        end = max(start, end - size - (32 if flags >> 31 else 0))
+        end = max(audio, end - size - (32 if flags >> 31 else 0))
     return tags, start, end
 
 
