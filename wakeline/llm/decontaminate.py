@@ -8,9 +8,12 @@ m words leaks if some stretch of the document is within ``allowed(m)`` word edit
   items' grams holds no leak.
 * At every other start the CGK random walk turns the item-sized window into a string
   in which edit distance has become Hamming distance; sampled positions of it form
-  the LSH keys.  Walks are repeated until items edited to the limit are found again
-  with the target recall; the repetitions are measured on the items, not assumed.
-* Every window and item that share a key are verified by exact edit distance.
+  the LSH keys.  Walks are repeated until, in every length class, items edited to the
+  limit and put in front of other words are found again with the target recall; the
+  repetitions are measured on the items, not assumed.
+* Every window and item that share a key are verified by exact edit distance.  A length
+  class for which ``MOST_WALKS`` walks are too few has its items compared with all
+  windows that were not left out.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_side
+from .base import cut, small_side
 from .tokens import mix64, slices, word_hashes
 
 _U = np.uint64
@@ -34,6 +37,10 @@ BITS, KEYS = 3, 6
 WINDOWS = 20_000
 #: Words of benchmark items that are searched for in one pass (about 100 MB of tables).
 BLOCK_WORDS = 1_000_000
+#: Walks after which a length class is searched without them.
+MOST_WALKS = 512
+#: Edited copies of each length class by which recall is measured.
+COPIES = 1000
 _GRAM_CODE = mix64(np.arange(101, 101 + GRAM, dtype=_U)) | _U(1)
 
 
@@ -59,7 +66,8 @@ def _length_class(m: int) -> int:
 
 
 def walk_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, classes: list[int]) -> np.ndarray:
-    """LSH keys (class, key, start) of CGK walk number ``walk`` from each start; past ``ends`` is padding."""
+    """LSH keys (class, key, start) of CGK walk number ``walk`` from each start; past ``ends`` is padding.
+    The keys of a class are the same whichever other classes are asked for."""
     picks = {}
     for c in classes:
         rng = np.random.default_rng([walk, c])
@@ -76,8 +84,8 @@ def walk_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, cl
             out[c, k] += symbol * odd
         coin = (mix64(symbol ^ seed) >> _U(j % 64)) & _U(1)
         i += (coin.astype(bool) & inside).astype(np.int64)
-    salt = mix64(np.arange(len(classes) * KEYS, dtype=_U) + _U(walk) * _U(1000)).reshape(len(classes), KEYS, 1)
-    return mix64(out ^ salt)
+    salt = np.array(classes, _U)[:, None] * _U(KEYS) + np.arange(KEYS, dtype=_U) + (_U(walk) << _U(32))
+    return mix64(out ^ mix64(salt)[:, :, None])
 
 
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -102,15 +110,18 @@ def _sellers(item: np.ndarray, text: np.ndarray) -> np.ndarray:
 class Index:
     ids: list[int]
     items: list[np.ndarray]
-    classes: list[int]
-    walks: int
+    #: the length class of each item (0: shorter than any), and the classes that each walk serves
+    of_class: np.ndarray
+    walks: list[list[int]]
+    #: items that are compared without walks, and those that only a whole text can equal
+    exact: list[int]
+    short: dict[bytes, list[int]]
     grams: np.ndarray
     bitmap: np.ndarray
     keys: np.ndarray
     owners: np.ndarray
     #: (window words, grams it must hold) by item length
     needs: list[tuple[int, int]]
-    recall: float
 
     def has(self, g: np.ndarray) -> np.ndarray:
         hit = self.bitmap[(g >> _U(42)).astype(np.int64)]
@@ -121,12 +132,13 @@ class Index:
     def look_up(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(number of the start, item) pairs that share a key."""
         found: set[tuple[int, int]] = set()
-        for w in range(self.walks):
-            keys = walk_keys(h, starts, ends, w, self.classes).reshape(-1, len(starts))
+        for w, classes in enumerate(self.walks):
+            keys = walk_keys(h, starts, ends, w, classes).reshape(-1, len(starts))
             lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
             for r, s in zip(*np.nonzero(hi > lo), strict=True):
                 for o in self.owners[lo[r, s] : hi[r, s]].tolist():
                     found.add((int(s), o))
+        found.update((s, o) for o in self.exact for s in range(len(starts)))
         return found
 
 
@@ -144,56 +156,85 @@ def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(words, _U)
 
 
-def build(rows: list[tuple[int, str]], min_words: int, recall: float) -> Index | None:
-    """The LSH index of the items, with as many walks as ``recall`` takes on edited copies of them."""
-    texts = pa.array([t for _, t in rows], pa.string())
+@dataclass
+class _Copies:
+    """Items edited to the limit, each in front of other words."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    item: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[np.ndarray], of_class: np.ndarray, seed: int) -> _Copies:
+        rng = np.random.default_rng(seed)
+        chosen = np.concatenate([rng.choice(np.flatnonzero(of_class == c), COPIES) for c in np.unique(of_class[of_class > 0])])
+        parts = [np.concatenate([_edited(items[i], allowed(len(items[i])), rng), rng.integers(1, 1 << 62, len(items[i])).astype(_U)]) for i in chosen]
+        at = np.cumsum([0, *map(len, parts)])
+        return cls(np.concatenate(parts), at[:-1], at[1:], chosen)
+
+
+def recall_by_class(index: Index, seed: int) -> dict[int, float]:
+    """The share of newly edited copies that the index finds at their true starts, by length class."""
+    if not (index.of_class > 0).any():
+        return {}
+    c = _Copies.of(index.items, index.of_class, seed)
+    found = index.look_up(c.words, c.starts, c.ends)
+    got = np.array([(i, o) in found for i, o in enumerate(c.item.tolist())])
+    return {int(k): float(got[index.of_class[c.item] == k].mean()) for k in np.unique(index.of_class[c.item])}
+
+
+def build(rows: list[tuple], min_words: int, recall: float) -> Index | None:
+    """The LSH index of the items (id, text), with as many walks as ``recall`` takes in each length class."""
     ids, items = [], []
-    for at, data, offs in slices(texts):
+    for at, data, offs in slices(pa.array([t for _, t in rows], pa.string())):
         h, words = word_hashes(data, offs)
         for i in range(len(words) - 1):
-            if words[i + 1] - words[i] >= min_words:
+            if words[i + 1] > words[i]:
                 ids.append(rows[at + i][0])
                 items.append(h[words[i] : words[i + 1]].copy())
     if not items:
         return None
-    classes = sorted({_length_class(len(x)) for x in items})
-    grams = np.unique(np.concatenate([_grams(x) for x in items]))
+    of_class = np.array([_length_class(len(x)) if len(x) >= min_words else 0 for x in items])
+    short: dict[bytes, list[int]] = {}
+    for i in np.flatnonzero(of_class == 0).tolist():
+        short.setdefault(items[i].tobytes(), []).append(i)
+    long = np.flatnonzero(of_class)
+    grams = np.unique(np.concatenate([np.zeros(0, _U), *(_grams(items[i]) for i in long)]))
     bitmap = np.zeros(1 << 22, bool)
     bitmap[(grams >> _U(42)).astype(np.int64)] = True
-    needs = sorted({(len(x) + allowed(len(x)), len(x) - GRAM + 1 - GRAM * allowed(len(x))) for x in items})
-    flat = np.concatenate(items)
-    at = np.cumsum([0, *map(len, items)])
-    of_class = np.array([classes.index(_length_class(len(x))) for x in items])
-    # copies edited to the limit, each looked for at its true start
-    rng = np.random.default_rng(7)
-    sample = rng.permutation(len(items))[:200]
-    copies = [_edited(items[i], allowed(len(items[i])), rng) for i in sample]
-    c_flat, c_at = np.concatenate(copies), np.cumsum([0, *map(len, copies)])
-    got = np.zeros(len(sample), bool)
-    keys: list[np.ndarray] = []
-    walk = 0
-    while True:
-        own = walk_keys(flat, at[:-1], at[1:], walk, classes)[of_class, :, np.arange(len(items))]
-        keys.append(own)
-        theirs = walk_keys(c_flat, c_at[:-1], c_at[1:], walk, classes)[of_class[sample], :, np.arange(len(sample))]
-        got |= (theirs == own[sample]).any(axis=1)
-        walk += 1
-        if got.mean() >= recall:
-            break
-        if walk == 512:
-            raise ValueError(f"{walk} walks find {got.mean():.3f} of the edited items, not {recall}")
-    joined = np.concatenate(keys, axis=1)
-    owners = np.repeat(np.arange(len(items)), joined.shape[1])
-    order = np.argsort(joined.reshape(-1), kind="stable")
-    return Index(ids, items, classes, walk, grams, bitmap, joined.reshape(-1)[order], owners[order], needs, float(got.mean()))
+    needs = sorted({(m + allowed(m), m - GRAM + 1 - GRAM * allowed(m)) for m in (len(items[i]) for i in long)})
+    keys, owners, walks, active = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [], sorted(set(of_class[long].tolist()))
+    if active:
+        c = _Copies.of(items, of_class, 7)
+        flat, at = np.concatenate(items), np.cumsum([0, *map(len, items)])
+        got = np.zeros(len(c.item), bool)
+    while active and len(walks) < MOST_WALKS:
+        mine, theirs = np.flatnonzero(np.isin(of_class, active)), np.flatnonzero(np.isin(of_class[c.item], active))
+        row = np.searchsorted(active, of_class[mine])
+        own = np.zeros((len(items), KEYS), _U)
+        own[mine] = walk_keys(flat, at[mine], at[mine + 1], len(walks), active)[row, :, np.arange(len(mine))]
+        seen = walk_keys(c.words, c.starts[theirs], c.ends[theirs], len(walks), active)[np.searchsorted(active, of_class[c.item[theirs]]), :, np.arange(len(theirs))]
+        got[theirs] |= (seen == own[c.item[theirs]]).any(axis=1)
+        keys.append(own[mine].reshape(-1))
+        owners.append(np.repeat(mine, KEYS))
+        walks.append(active)
+        active = [k for k in active if got[of_class[c.item] == k].mean() < recall]
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(key, kind="stable")
+    return Index(ids, items, of_class, walks, np.flatnonzero(np.isin(of_class, active)).tolist(), short, grams, bitmap, key[order], owner[order], needs)
 
 
 def _search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, distance, start word, end word) of the leaks in a batch."""
-    fewest = min(n for _, n in index.needs)
+    fewest = min((n for _, n in index.needs), default=0)
+    longest = max(map(len, index.short), default=0) // 8
     for at, data, offs in slices(texts):
         h, words = word_hashes(data, offs)
-        if len(h) < GRAM:
+        for r in np.flatnonzero((np.diff(words) > 0) & (np.diff(words) <= longest)).tolist():
+            for o in index.short.get(h[words[r] : words[r + 1]].tobytes(), ()):
+                yield at + r, o, 0, 0, len(index.items[o])
+        if len(h) < GRAM or not index.needs:
             continue
         hits = np.zeros(len(h) + 1, np.int64)
         own = index.has(_grams(h))
@@ -251,17 +292,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_word
 
     Verified matches are exact; the search finds a match at the largest allowed
     distance with probability ``recall`` or more and closer ones with more.  Null and
-    empty texts match nothing; items of fewer than ``min_words`` words or with a null
-    text are no passages and are not searched for; repeated rows are reported each;
-    empty tables give no rows.  Items are searched for in blocks of at most
-    ``BLOCK_WORDS`` words, each block broadcast.
+    empty texts match nothing, and items without words or with a null text are nothing
+    to find.  An item of fewer than ``min_words`` words is no passage that a document
+    could hold by leak: it matches only a text that has its words and no others.
+    Repeated rows are reported each; empty tables give no rows.  Items are searched
+    for in blocks of at most ``BLOCK_WORDS`` words, each block broadcast.
     """
     spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind, id_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType
     passages = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("__wl_i"), F.col(item_text).alias("__wl_t"))
     n = passages.agg(F.coalesce(F.sum(F.regexp_count("__wl_t", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-n // BLOCK_WORDS))
-    ddl = f"doc_id {kind}, item_id {items.schema[item_id].dataType.simpleString()}, distance int, n_words int, start_word int, end_word int"
+    ddl = f"doc_id {kind}, item_id {id_type.simpleString()}, distance int, n_words int, start_word int, end_word int"
     out = spark.createDataFrame([], ddl)
     for b in range(blocks):
         rows = [tuple(r) for r in passages.filter(F.pmod(F.xxhash64("__wl_i", "__wl_t"), F.lit(blocks)) == b).orderBy("__wl_i", "__wl_t").collect()]
@@ -271,15 +313,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_word
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_type
+
             ix = shared.value
-            types = None
+            item_type = to_arrow_type(id_type)
             for batch in batches:
                 found = list(_search(ix, batch.column(1)))
                 if not found:
                     continue
                 row, o, d, a, z = zip(*found, strict=True)
-                types = types or batch.column(0).type
-                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array([ix.ids[i] for i in o]), pa.array(d, pa.int32()), pa.array([len(ix.items[i]) for i in o], pa.int32()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["doc_id", "item_id", "distance", "n_words", "start_word", "end_word"])
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array([ix.ids[i] for i in o], item_type), pa.array(d, pa.int32()), pa.array([len(ix.items[i]) for i in o], pa.int32()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["doc_id", "item_id", "distance", "n_words", "start_word", "end_word"])
 
         part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl)
         out = part if blocks == 1 else out.union(part)
@@ -288,7 +331,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_word
 
 def drop_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents (ids) in which an item leaks; columns stay as they are."""
-    leaks = find_leaks(docs, items, recall, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__wl_id")).distinct()
+    leaks = cut(find_leaks(docs, items, recall, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__wl_id")).distinct(), "leaks")
     return docs.join(small_side(leaks, 16), docs[doc_id].eqNullSafe(F.col("__wl_id")), "left_anti")
 
 
