@@ -13,9 +13,11 @@ from wakeline.llm.base import cut, table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID (8): documents whose language cannot be told (no letters, null text) go."""
+    """Language ID (8): documents whose language cannot be told (no letters, null text) go.  Where no
+    labelled row gives a model, documents with letters stay."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    kept = language_id.identify(docs, model).filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    told = F.col("lang_pred") != language_id.UNDETERMINED
+    kept = language_id.identify(docs, model).filter(told if model.langs else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return kept.select(*docs.columns)
 
 

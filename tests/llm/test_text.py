@@ -1,6 +1,9 @@
 """Language ID, URL filters, decontamination and licence scans."""
 
+import math
 import random
+import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -15,9 +18,9 @@ SAMPLE = [("en", "the house and the garden of the king"), ("en", "this is the we
 
 def test_words_first_then_ngrams(spark):
     docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(SAMPLE)] + [(98, None, "en"), (99, "words", None)], "doc_id long, text string, lang string")
-    model = language_id.fit(docs, min_count=1)
+    model = language_id.fit(docs)
     assert model.langs == ["de", "en"]
-    new = spark.createDataFrame([(1, "The HOUSE"), (2, "gartenhaus"), (3, None), (4, "123 ... 45"), (5, ""), (6, "wind " * 50_000 + "nicht")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "_text", "lang")})
+    new = spark.createDataFrame([(1, "The HOUSE"), (2, "gartenhaus"), (3, None), (4, "123 ... 45 ½ ² Ⅷ _"), (5, ""), (6, "wind " * 50_000 + "nicht")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "_text", "lang")})
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(new, model).collect()}
     assert got[1][0] == "en" and got[2][0] == "de" and got[3] == got[4] == got[5] == ("und", 0.0)
     assert all(0 <= s <= 1 for _, s in got.values()) and len(got) == 6
@@ -34,8 +37,49 @@ def test_no_labels_and_no_rows(spark):
 
 def test_sample_bounds_what_is_fitted(spark):
     docs = spark.createDataFrame([(i, f"word{i} common", "en") for i in range(50)], "doc_id long, text string, lang string")
-    model = language_id.fit(docs, sample_rows=10, min_count=1)
-    assert len([w for w in model.tables[0][0] if w == "word" or w == "common"]) >= 1 and model.prior.tolist() == [0.0]
+    model = language_id.fit(docs, sample_rows=10)
+    assert set(model.tables[0][0]) == {"word", "common"} and model.prior.tolist() == [0.0]
+
+
+def judge_text_by_hand(rows, held, text):
+    """Counts of whole words and n-grams by language, plus a half, as in the operator, without its tables."""
+    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    counts, docs = {}, Counter()
+    for d, t, lang in rows:
+        if not held[d] and t is not None and lang is not None:
+            docs[lang] += 1
+            for w in words(t):
+                counts.setdefault(0, {}).setdefault(w, Counter())[lang] += 1
+                for n in language_id.ORDERS:
+                    for i in range(len(w) + 3 - n):
+                        counts.setdefault(n, {}).setdefault(f"<{w}>"[i : i + n], Counter())[lang] += 1
+    langs = sorted(docs)
+    size = {(n, x): sum(c[x] + 0.5 for c in by.values()) for n, by in counts.items() for x in langs}
+    log = lambda n, key, x: math.log((counts[n][key][x] + 0.5) / size[n, x])
+    total = {x: math.log(docs[x] / sum(docs.values())) for x in langs}
+    for w in words(text):
+        if w in counts[0]:
+            each = [(0, [w])]
+        else:
+            each = [(n, [g for i in range(len(w) + 3 - n) if (g := f"<{w}>"[i : i + n]) in counts.get(n, {})]) for n in language_id.ORDERS]
+        n, keys = next(((n, k) for n, k in each if k), (0, []))
+        for x in langs if keys else []:
+            total[x] += sum(log(n, g, x) for g in keys) / len(keys)
+    if not words(text) or not langs:
+        return "und", 0.0
+    best = max(total.values())
+    return max(langs, key=total.get), 1 / sum(math.exp(v - best) for v in total.values())
+
+
+def test_predictions_equal_a_plain_model(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    rows = [tuple(r) for r in rows] + [(10_001, "neues wort 12 ½", None), (10_002, None, "en"), (10_003, "", "en"), (10_004, "zzz qqq xxq", None)]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identify(docs, language_id.fit(docs.filter(~language_id.held_out()))).collect()
+    for r in out:
+        lang, score = judge_text_by_hand(rows, held, r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-3), r["doc_id"]
 
 
 def test_held_out_accuracy(spark, data):
@@ -105,13 +149,14 @@ def test_leaks(spark, monkeypatch, block):
         if d % 2:
             i = rng.randrange(12)
             leak = items[i][1].split()
-            for _ in range(rng.randint(0, max(0, decontaminate.allowed(len(leak)) // 2))):
+            for _ in range(rng.randint(0, decontaminate.allowed(len(leak)))):
                 leak[rng.randrange(len(leak))] = word()
             k = rng.randrange(len(w) + 1)
             w = w[:k] + leak + w[k:]
         docs.append((d, " ".join(w)))
     docs += [(100, None), (101, ""), (102, items[3][1].upper()), (102, items[3][1].upper()), (None, "x " * 20_000 + items[4][1])]
-    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), recall=0.99)
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("item_id", "distance", "__t", "n_words")}).repartition(3)
+    got = decontaminate.find_leaks(table, spark.createDataFrame(items, "item_id int, text string"), recall=0.99)
     rows = {(r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()}
     want = leaks_by_hand(docs[:-1], items)
     own = {x for x in rows if x[0] is not None}
@@ -122,6 +167,23 @@ def test_leaks(spark, monkeypatch, block):
         assert (r["doc_id"], r["item_id"], r["distance"]) in leaks_by_hand([(r["doc_id"], " ".join(stretch))], items)
 
 
+@pytest.mark.parametrize("most", [512, 0])
+def test_recall_in_each_length_class(monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", most)
+    rng = random.Random(3)
+    index = decontaminate.build([(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i, n in enumerate([*range(5, 60)] * 3)], 5, 0.95)
+    got = decontaminate.recall_by_class(index, 11)
+    assert len(got) == 10 and min(got.values()) >= (0.92 if most else 1.0) and (not index.exact if most else not index.walks)
+
+
+def test_short_items_equal_whole_texts(spark):
+    items = spark.createDataFrame([("a", "Yes"), ("b", "two words"), ("c", "one two three four five six")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "yes"), (2, "yes yes"), (3, " TWO\twords "), (4, "two words more"), (5, "x one two three four five six")], "doc_id int, text string")
+    for some in (items, items.filter("item_id <> 'c'")):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, some).collect()}
+        assert got == {(1, "a"), (3, "b")} | ({(5, "c")} if some is items else set())
+
+
 def test_no_items_and_no_documents(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0

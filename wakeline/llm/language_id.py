@@ -3,7 +3,7 @@
 A known word scores by its per-language log frequency.  An unseen word falls back
 to the longest character n-grams (orders 5 down to 1, with word edges) of which the
 model knows any.  The model is fitted on a bounded, hash-chosen sample of labelled
-rows; its tables are bounded by ``max_entries`` per order and can be broadcast.
+rows and keeps every word and n-gram of it, so the sample bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import most_frequent, widened
+from .base import cut, discard, widened
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters: word characters but digits, numerals of other kinds (such as fractions) and underscores.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 _CACHE = 200_000
@@ -88,12 +91,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", sample_rows: int = 20_000, max_entries: int = 40_000, min_count: int = 2) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", sample_rows: int = 5_000) -> Model:
     """Fits on the ``sample_rows`` labelled rows with the smallest hash of ``order_by``.
 
-    Rows with a null text or lang are left out; without any, the model knows no
-    language and predicts ``und``.  ``sample_rows`` and ``max_entries`` (tables keep
-    the most frequent entries of each order) bound what reaches the driver.
+    Rows with a null text, lang or id are left out; without any, the model knows no
+    language and predicts ``und``.  ``sample_rows`` is the only bound: all words and
+    n-grams of the sample's whole texts reach the driver and form the model.
     """
     labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = labelled.select(F.col(order_by).alias("__wl_id")).filter("__wl_id is not null").distinct().orderBy(F.xxhash64("__wl_id"), "__wl_id").limit(sample_rows)
@@ -133,25 +136,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: s
         yield from send(by_lang, docs)
 
     counts = rows.mapInArrow(count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    table = (
-        counts.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"), F.sum("c").alias("total"))
-        .filter((F.col("n") < 0) | (F.col("total") >= min_count))
-        .persist()
-    )
-    try:
-        docs = table.filter("n = -1").first()
-        if docs is None:
-            return Model([], np.zeros(0), {n: ({}, np.zeros((0, 0))) for n in (0, *ORDERS)})
-        langs = sorted(docs["by"])
-        prior = np.log(np.array([docs["by"][x] for x in langs], float) / docs["total"])
-        tables = {}
-        for n in (0, *ORDERS):
-            top = most_frequent(table.filter(F.col("n") == n), "total", max_entries, "gram").select("gram", "by").collect()
-            m = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs)) + 0.5
-            logs = (np.log(m / m.sum(axis=0)) if len(top) else m).astype(np.float32)
-            tables[n] = ({r["gram"]: i for i, r in enumerate(top)}, logs)
-    finally:
-        table.unpersist()
+    table = cut(counts, "grams")
+    docs = {r["lang"]: r["c"] for r in table.filter("n = -1").collect()}
+    langs = sorted(docs)
+    prior = np.log(np.array([docs[x] for x in langs], float) / sum(docs.values()))
+    tables = {}
+    for n in (0, *ORDERS):
+        part = table.filter(F.col("n") == n).select("gram", "lang", "c").toArrow().combine_chunks()
+        gram, lang = (pc.dictionary_encode(part.column(c)).combine_chunks() for c in ("gram", "lang"))
+        known = gram.dictionary.to_pylist()
+        m = np.full((len(known), len(langs)), 0.5)
+        of = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+        np.add.at(m, (gram.indices.to_numpy(), of[lang.indices.to_numpy()] if len(of) else of), part.column("c").to_numpy())
+        tables[n] = ({g: i for i, g in enumerate(known)}, np.log(m / m.sum(axis=0)).astype(np.float32) if known else np.zeros((0, len(langs)), np.float32))
+    discard(table)
     return Model(langs, prior, tables)
 
 
