@@ -208,9 +208,24 @@ def test_headers_files_and_inheritance(spark):
     assert got[3] == ("MIT", "inherited", "r/a") and got[4] == ("Apache-2.0", "inherited", "r/a/b") and got[9][0] == "MIT"
     assert got[5] == got[6] == got[8] == (None, "none", None) and got[7][:2] == ("MIT", "header")
     assert license_scan.scan(docs, F.col("p")).count() == len(rows)
+    again = license_scan.scan(spark.createDataFrame([(7, mit, "a/x"), (7, mit, "a/x"), (None, mit, "b/x"), (8, prose, "c/x")], "doc_id long, text string, p string"), F.col("p")).collect()
+    assert sorted((str(r["doc_id"]), r["license"], r["score"]) for r in again) == [("7", "MIT", 1.0), ("7", "MIT", 1.0), ("8", None, None), ("None", "MIT", 1.0)]
     assert license_scan.scan(docs.limit(0), F.col("p")).count() == 0
 
 
+def test_licence_texts_tags_and_the_root(spark):
+    texts = {x: [t for y, t in license_scan.TEMPLATES if x == y][-1] for x in ("MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "ISC")}
+    wrap = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    rows = [(i, f"Copyright 2020 somebody\n\n{wrap(t)}\n", f"d{i}/LICENSE") for i, t in enumerate(texts.values())]
+    rows += [(10 + i, f"first line\n\n{wrap(t)}\n\n" + "code words of a program " * 200, f"e{i}/x") for i, t in enumerate(texts.values())]
+    rows += [(20, "# SPDX-License-Identifier: ISC\n" + "other words " * 50, "f/x"), (21, "Released under the MIT License", "LICENSE"), (22, "some prose", "g/h/x"), (23, "more prose", "top")]
+    rows += [(30 + i, f"plain text number {i} with many other words", f"z/{i}") for i in range(40)]
+    got = {r["doc_id"]: (r["license"], r["how"], r["license_dir"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, p string"), F.col("p")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i][:2] == (x, "file") and got[10 + i][:2] == (x, "header")
+    assert got[20][:2] == ("ISC", "header") and got[22] == got[23] == got[30] == ("MIT", "inherited", "")
+
+
 # ---- hashes and SQL twins
 
 

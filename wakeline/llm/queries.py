@@ -78,36 +78,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
-_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.templates()))
 _TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x NOT IN (''" + "".join(f", '{w}'" for w in license_scan.STOP) + "))"
 
 
-def _best(units: str, keys: str, size: str, least: float) -> str:
-    """SQL of the best template of each document's units."""
-    return f"""(
-  SELECT doc_id, arg_min(license, (-score, tid)) AS license, max(score) AS score FROM (
-    SELECT doc_id, license, tid, round(dot / sqrt(own + rest * other * other), 6) AS score FROM
-      (SELECT {keys}, license, tid, sum(tf * idf * tw) AS dot FROM {units} JOIN tw USING (term) JOIN idf USING (term) GROUP BY ALL)
-      JOIN (SELECT {keys}, sum(tf * idf * tf * idf) AS own, any_value({size}) - sum(tf) AS rest FROM {units} JOIN idf USING (term) GROUP BY ALL) USING ({keys}),
-      (SELECT ln(count(*) + 1.0) + 1 AS other FROM documents)
-  ) WHERE score >= {least} GROUP BY doc_id)"""
-
-
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": f"""
 WITH tpl(tid, license, notice) AS (VALUES {_TEMPLATES}
-), tt AS (SELECT tid, license, unnest(list_distinct({_TERMS.format('notice')})) AS term FROM tpl
-), ln AS (
-  SELECT doc_id, i AS pos, {_TERMS.format('ls[i]')} AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-), nd AS (SELECT doc_id, sum(len(w)) AS n_doc FROM ln GROUP BY doc_id
-), held AS (
-  SELECT doc_id, pos, n_line, term, count(*) AS tf FROM (SELECT doc_id, pos, len(w) AS n_line, unnest(w) AS term FROM ln) WHERE term IN (SELECT term FROM tt) GROUP BY ALL
-), whole AS (SELECT doc_id, n_doc, term, sum(tf) AS tf FROM held JOIN nd USING (doc_id) GROUP BY ALL
-), idf AS (
-  SELECT v.term, ln(((SELECT count(*) FROM documents) + 1.0) / (count(DISTINCT h.doc_id) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN held h ON v.term = h.term GROUP BY v.term
-), tw AS (SELECT tid, license, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY tid)) AS tw FROM tt JOIN idf USING (term)
-), hd AS (SELECT * FROM {_best("held", "doc_id, pos", "n_line", 0.8)}
-), fl AS (SELECT * FROM {_best("whole", "doc_id", "n_doc", 0.5)}
+), tt AS (SELECT tid, license, term, count(*) AS tf FROM (SELECT tid, license, unnest({_TERMS.format('notice')}) AS term FROM tpl) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS.format('text')})) AS term FROM documents) GROUP BY term
+), idf AS (SELECT t.term, ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM df UNION SELECT term FROM tt) t LEFT JOIN df ON t.term = df.term
+), tw AS (SELECT tid, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tid)) AS tw FROM tt JOIN idf USING (term)
+), un AS (
+  SELECT doc_id, -1 AS pos, coalesce(text, '') AS unit FROM documents
+  UNION ALL SELECT doc_id, i, ls[i] FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+  UNION ALL SELECT doc_id, 1000000000 + i, bs[i] FROM (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{license_scan.BLANK_LINES}') AS bs FROM documents))
+), wd AS (SELECT doc_id, pos, {_TERMS.format('unit')} AS ws FROM un
+), vec AS (
+  SELECT doc_id, pos, term, count(*) * any_value(idf) AS w
+  FROM (SELECT doc_id, pos, unnest(ws) AS term FROM wd WHERE list_has_any(ws, (SELECT list(term) FROM tt))) JOIN idf USING (term) GROUP BY ALL
+), hit AS (
+  SELECT doc_id, pos, license, tid, round(dot / norm, 6) AS score
+  FROM (SELECT doc_id, pos, license, tid, sum(w * tw) AS dot FROM vec JOIN tw USING (term) GROUP BY ALL) JOIN (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM vec GROUP BY ALL) USING (doc_id, pos)
+), hd AS (SELECT doc_id, arg_min(license, (-score, tid)) AS license, max(score) AS score FROM hit WHERE pos >= 0 AND score >= 0.8 GROUP BY doc_id
+), fl AS (SELECT doc_id, arg_min(license, (-score, tid)) AS license, max(score) AS score FROM hit WHERE pos < 0 AND score >= 0.5 GROUP BY doc_id
 ), p AS (
   SELECT doc_id, CASE WHEN doc_id % 512 = 0 THEN source || '/' || (doc_id // 512) || '/LICENSE' WHEN doc_id % 32 = 0 THEN source || '/' || (doc_id // 512) || '/' || (doc_id // 32) || '/LICENSE'
     ELSE source || '/' || (doc_id // 512) || '/' || (doc_id // 32) || '/' || doc_id END AS path FROM documents
@@ -116,7 +110,7 @@ WITH tpl(tid, license, notice) AS (VALUES {_TEMPLATES}
     CASE WHEN fl.license IS NOT NULL THEN 'file' WHEN hd.license IS NOT NULL THEN 'header' END AS how
   FROM p LEFT JOIN hd ON p.doc_id = hd.doc_id LEFT JOIN fl ON p.doc_id = fl.doc_id
 ), g AS (SELECT dir AS gdir, arg_min(license, (-score, license)) AS gl FROM r WHERE license IS NOT NULL AND (how = 'file' OR ends_with(path, '/LICENSE')) GROUP BY dir
-), n AS (SELECT d.dir, arg_max(gdir, length(gdir)) AS gdir, arg_max(gl, length(gdir)) AS gl FROM (SELECT DISTINCT dir FROM r WHERE license IS NULL) d JOIN g ON d.dir = gdir OR starts_with(d.dir, gdir || '/') GROUP BY d.dir)
+), n AS (SELECT d.dir, arg_max(gdir, length(gdir)) AS gdir, arg_max(gl, length(gdir)) AS gl FROM (SELECT DISTINCT dir FROM r WHERE license IS NULL) d JOIN g ON gdir = '' OR d.dir = gdir OR starts_with(d.dir, gdir || '/') GROUP BY d.dir)
 SELECT doc_id, path, coalesce(license, gl) AS license, coalesce(how, CASE WHEN gl IS NOT NULL THEN 'inherited' END, 'none') AS how, score, CASE WHEN license IS NULL THEN gdir END AS license_dir
 FROM r LEFT JOIN n ON r.dir = n.dir""",
     "op3_ngram_jaccard_join": f"""
