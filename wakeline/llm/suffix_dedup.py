@@ -140,8 +140,9 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     sums = prefix_hash(data)
     at = np.arange(n - gram + 1)
     g = mix64(span_hash(sums, at, at + gram))
-    # sliding minimum with the leftmost position in the low bits
-    bits = max(1, int(n).bit_length())
+    # sliding minimum with the leftmost position in the low bits, as many of them for every slice: what a
+    # window picks depends on its own bytes alone
+    bits = 32
     v = (g >> _U(bits) << _U(bits)) | at.astype(_U)
     full = np.full(-(-len(v) // w) * w, np.iinfo(_U).max, _U)
     full[: len(v)] = v
