@@ -62,12 +62,12 @@ def test_gaps_cover_the_rest_of_the_wall(spark):
 
 
 def test_stack_distances():
-    assert prefix.stack_distances(list("abcaba")) == [None, None, None, 2, 2, 1]
+    assert prefix.stack_distances(list("abcaba")).tolist() == [-1, -1, -1, 2, 2, 1] and not len(prefix.stack_distances([]))
     rng = random.Random(4)
     keys = [rng.randrange(12) for _ in range(200)]
     for i, d in enumerate(prefix.stack_distances(keys)):
         before = [j for j in range(i) if keys[j] == keys[i]]
-        assert d == (len(set(keys[before[-1] + 1 : i])) if before else None)
+        assert d == (len(set(keys[before[-1] + 1 : i])) if before else -1)
 
 
 def tokens(spark, seqs, extra=()):
@@ -217,12 +217,21 @@ def test_code_layers(text, want):
 def test_sections_partition_the_prompt(spark):
     user = "You are an analyst.\n**General Guidelines**: be careful\n**Task History**\nold\n[Code]:\nx = 1\n[Output]:\n42\nOutput Paths: /o"
     msgs = [{"role": "system", "content": "S"}, {"role": "user", "content": user}, {"role": "assistant", "content": "A"}]
-    got = list(prompts.sections(msgs, prompts.TEMPLATE))
+    df = spark.createDataFrame([(1, 1, msgs), (1, 2, []), (1, 3, [{"role": None, "content": None}, {"role": "user", "content": "no header"}])], "run_id int, call int, messages array<struct<role:string,content:string>>")
+    sections = prompts.prompt_sections(df, headers=True)
+    got = [tuple(r)[2:] for r in sections.filter("call = 1").orderBy("start").collect()]
+    assert [tuple(r)[2:] for r in sections.filter("call = 3").orderBy("start").collect()] == [(0, 7, "<?>", "instructions"), (7, 26, "<user>", "unlabeled")]
     text = "".join(f"<|{m['role']}|>\n{m['content']}\n" for m in msgs)
     assert got[0][0] == 0 and got[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(got, got[1:]))
     assert [g[3] for g in got] == ["system message", "instructions", "instructions", "history dialog", "code", "raw data", "instructions", "history dialog"]
-    df = spark.createDataFrame([(1, 1, msgs)], "run_id int, call int, messages array<struct<role:string,content:string>>")
-    assert prompts.choose_grammar(df).name == "template" and prompts.choose_grammar(df, least=99).name == "role only"
+    assert [g[2] for g in got] == ["<system>", "preamble", "General Guidelines", "Task History", "Code", "Output", "Output Paths", "<assistant>"]
+    for start, _, name, _ in got[2:7]:
+        assert text[start:].lstrip("[*").startswith(name)
+    assert prompts.uses_headers(df, least=1.5) and not prompts.uses_headers(df, least=99)
+    plain = prompts.prompt_sections(df, headers=False).filter("call = 1").orderBy("start").collect()
+    assert [r["tag"] for r in plain] == ["system message", "document text", "history dialog"]
+    tags = spark.createDataFrame([(1, 1, 0, "b", 5), (1, 1, 0, "a", 5), (1, 1, 0, "c", 2)], "run_id int, call int, seg int, tag string, tokens long")
+    assert rows(prompts.widest_tag(tags)) == [(1, 1, 0, "a", 5)]
 
 
 def test_replay_tables(spark):

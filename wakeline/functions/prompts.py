@@ -2,100 +2,69 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Section tags.
 INSTRUCTIONS, CODE, RAW_DATA, HISTORY, SYSTEM, DOCUMENT, UNLABELED = "instructions", "code", "raw data", "history dialog", "system message", "document text", "unlabeled"
 
 
-@dataclass(frozen=True)
-class Grammar:
-    """How sections are recognised: a header pattern with named groups, and the tag of each header and role."""
-
-    name: str
-    role_tags: dict[str, str]
-    header: str | None = None
-    header_tags: dict[str, str] = field(default_factory=dict)
-    default: str = INSTRUCTIONS
-    parsed: tuple[str, ...] = ("user",)
-
-
-# The header texts of the template grammar.
+# Tags of roles where prompts have headers and where they have none, and of headers; all others are instructions.
+TEMPLATE_ROLES = {"system": SYSTEM, "assistant": HISTORY, "tool": RAW_DATA}
+PLAIN_ROLES = {"system": SYSTEM, "user": DOCUMENT, "assistant": HISTORY, "tool": RAW_DATA}
+HEADER_TAGS = {"Code": CODE, "Output": RAW_DATA, "Output of a previous step": RAW_DATA, "Task History": HISTORY}
+# The header texts, by how they are set off.
 BRACKETS = ["Instruction", "Code", "Output of a previous step", "Output", "Chosen action unit"]
 BOLD = ["Function Tools", "Programming Setups", "General Guidelines", "Task History", "Task"]
 PLAIN = ["Instruction", "Task History", "Available Action Units", "Current Context", "Context Variables", "Input Paths", "Output Paths", "Tools", "Programming Environment Setup", "NOTE", "FORMAT"]
-
-
-def _one_of(names: list[str]) -> str:
-    return "|".join(map(re.escape, names))
-
-
-TEMPLATE = Grammar(
-    "template", {"system": SYSTEM, "assistant": HISTORY, "tool": RAW_DATA},
-    rf"(?m)^(?:\[(?P<bracket>{_one_of(BRACKETS)})\]:?|\*\*(?P<bold>{_one_of(BOLD)}|TO DO:[^*\n]{{0,40}})\*\*:?|(?P<plain>{_one_of(PLAIN)}):)",
-    {"Code": CODE, "Output": RAW_DATA, "Output of a previous step": RAW_DATA, "Task History": HISTORY},
-)
-ROLE_ONLY = Grammar("role only", {"system": SYSTEM, "user": DOCUMENT, "assistant": HISTORY, "tool": RAW_DATA}, parsed=())
-
-
-def sections(messages: list[dict], grammar: Grammar) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, name, tag) in characters; contiguous, disjoint and complete.  A message is
-    ``<|role|>``, a line break, its content and a line break; the mark belongs to what follows it."""
-    pos = 0
-    for m in messages or []:
-        role, text = m.get("role") or "?", m.get("content") or ""
-        body = pos + len(role) + 5
-        end = body + len(text) + 1
-        own = grammar.role_tags.get(role, grammar.default)
-        if role not in grammar.parsed or not grammar.header:
-            yield pos, end, f"<{role}>", own
-        else:
-            marks = list(re.finditer(grammar.header, text))
-            cuts = [body + x.start() for x in marks] + [end]
-            if not marks:
-                yield pos, end, f"<{role}>", UNLABELED
-            elif cuts[0] > pos:
-                yield pos, cuts[0], "preamble", own
-            for x, a, z in zip(marks, cuts, cuts[1:], strict=False):
-                name = next(v for v in x.groups() if v)
-                name = "TO DO" if name.startswith("TO DO:") else name
-                yield a, z, name, grammar.header_tags.get(name, grammar.default)
-        pos = end
-
-
-def choose_grammar(prompts: DataFrame, grammars: list[Grammar] = [TEMPLATE], least: float = 2.0) -> Grammar:
-    """The grammar with most headers per call, if at least ``least``; one aggregate over the corpus."""
-    best, rate = ROLE_ONLY, 0.0
-    for g in grammars:
-        pattern = re.sub(r"\(\?P<\w+>", "(", g.header)
-        hits = F.aggregate(F.filter("messages", lambda m: m["role"].isin(list(g.parsed))), F.lit(0), lambda n, m: n + F.coalesce(F.size(F.regexp_extract_all(m["content"], F.lit(pattern), 0)), F.lit(0)))
-        got = prompts.agg(F.avg(hits)).first()[0]
-        if got is not None and got >= least and got > rate:
-            best, rate = g, got
-    return best
-
-
-def prompt_sections(prompts: DataFrame, grammar: Grammar) -> DataFrame:
-    """(run_id, call, start, end, name, tag) of prompts with ``messages`` (array of role and content)."""
-    kinds = {c: prompts.schema[c].dataType.simpleString() for c in ("run_id", "call")}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for r, c, m in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for s in sections(m, grammar):
-                    for col, v in zip(out, (r, c, *s), strict=True):
-                        col.append(v)
-            types = (b.column(0).type, b.column(1).type, pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["run_id", "call", "start", "end", "name", "tag"])
-
-    return prompts.select("run_id", "call", "messages").mapInArrow(run, f"run_id {kinds['run_id']}, call {kinds['call']}, start int, end int, name string, tag string")
+HEADER = rf"(?m)^(?:\[(?:{'|'.join(BRACKETS)})\]:?|\*\*(?:{'|'.join(BOLD)}|TO DO:[^*\n]{{0,40}})\*\*:?|(?:{'|'.join(PLAIN)}):)"
+
+
+def _tag(key: Column, tags: dict[str, str]) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in tags.items() for x in kv))[key], F.lit(INSTRUCTIONS))
+
+
+def uses_headers(prompts: DataFrame, least: float = 2.0) -> bool:
+    """Whether the user messages of a call hold ``least`` headers on average; one aggregate over the corpus."""
+    mine = F.filter("messages", lambda m: m["role"] == "user")
+    got = prompts.agg(F.avg(F.aggregate(mine, F.lit(0), lambda n, m: n + F.coalesce(F.regexp_count(m["content"], F.lit(HEADER)), F.lit(0))))).first()[0]
+    return got is not None and got >= least
+
+
+def prompt_sections(prompts: DataFrame, headers: bool | None = None) -> DataFrame:
+    """(run_id, call, start, end, name, tag) of prompts with ``messages`` (array of role and content).
+
+    The sections are an exact partition, in characters, of the serialised prompt, in which a message is
+    ``<|role|>``, a line break, its content and a line break.  Without ``headers`` (null: as the corpus
+    has them) each message is a section.  With them, user messages are cut where a header begins; what
+    stands before the first one, the mark included, is the preamble.
+    """
+    headers = uses_headers(prompts) if headers is None else headers
+    role, text = F.coalesce(F.when(F.col("m.role") != "", F.col("m.role")), F.lit("?")), F.coalesce("m.content", F.lit(""))
+    # the end of each message: a running sum over its array
+    sizes = F.transform("messages", lambda m: F.length(F.coalesce(F.when(m["role"] != "", m["role"]), F.lit("?"))) + F.length(F.coalesce(m["content"], F.lit(""))) + 6)
+    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+    each = prompts.select("run_id", "call", F.explode(F.arrays_zip(F.col("messages").alias("m"), ends.alias("to"))).alias("x"))
+    each = each.select("run_id", "call", F.col("x.m").alias("m"), F.col("x.to").alias("to"))
+    each = each.select("run_id", "call", role.alias("role"), text.alias("text"), (F.col("to") - F.length(role) - F.length(text) - 6).alias("at"), "to")
+    whole = lambda tag: F.array(F.struct(F.col("at").alias("start"), F.col("to").alias("end"), F.concat(F.lit("<"), "role", F.lit(">")).alias("name"), tag.alias("tag")))
+    if not headers:
+        parts = whole(_tag(F.col("role"), PLAIN_ROLES))
+    else:
+        # headers and the texts between them alternate, so their lengths give where each header begins
+        each = each.withColumns({"heads": F.regexp_extract_all("text", F.lit(HEADER), F.lit(0)), "gaps": F.split("text", HEADER, -1)})
+        each = each.withColumn("heads", F.when(F.col("role") == "user", F.col("heads")).otherwise(F.array()))
+        size = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+        begin = lambda i: F.col("at") + F.length("role") + 5 + size("gaps", i + 1) + size("heads", i)
+        each = each.withColumn("cuts", F.concat(F.transform("heads", lambda h, i: begin(i)), F.array("to")))
+        name = lambda h: F.regexp_extract(h, r"^[\[*]*([^\]*:\n]+)", 1)
+        cut_up = F.transform("heads", lambda h, i: F.struct(F.element_at("cuts", i + 1).alias("start"), F.element_at("cuts", i + 2).alias("end"), name(h).alias("name"), _tag(name(h), HEADER_TAGS).alias("tag")))
+        preamble = F.array(F.struct(F.col("at").alias("start"), F.col("cuts")[0].alias("end"), F.lit("preamble").alias("name"), F.lit(INSTRUCTIONS).alias("tag")))
+        parts = F.when(F.col("role") != "user", whole(_tag(F.col("role"), TEMPLATE_ROLES))).when(F.size("heads") == 0, whole(F.lit(UNLABELED))).otherwise(F.concat(preamble, cut_up))
+    return each.select("run_id", "call", F.explode(parts).alias("p")).select("run_id", "call", "p.*")
 
 
 def token_spans(text: str, tokens: list[str]) -> list[tuple[int, int]]:
@@ -126,12 +95,18 @@ def with_token_ranges(prompts: DataFrame, parts: DataFrame, tokenizer: Callable[
 
 
 def overlap_by_tag(segments: DataFrame, parts: DataFrame) -> DataFrame:
-    """Tokens of each segment (run_id, call, seg, a, z) by tag of the sections of its call, and the widest tag."""
+    """Tokens of each segment (run_id, call, seg, a, z) by tag of the sections of its call."""
     x = segments.join(parts.select("run_id", "call", "tag", "t0", "t1"), ["run_id", "call"]).filter("a < t1 and t0 < z")
     n = F.least("z", "t1") - F.greatest("a", "t0")
     return x.groupBy("run_id", "call", "seg", "tag").agg(F.sum(n).cast("long").alias("tokens"))
 
 
+def widest_tag(overlaps: DataFrame) -> DataFrame:
+    """(run_id, call, seg, tag, tokens): the tag that holds most of each segment; among equals the first by name."""
+    widest = F.min(F.struct((-F.col("tokens")).alias("n"), "tag"))
+    return overlaps.groupBy("run_id", "call", "seg").agg(widest.alias("w")).select("run_id", "call", "seg", F.col("w.tag").alias("tag"), (-F.col("w.n")).alias("tokens"))
+
+
 def content_breakdown(overlaps: DataFrame) -> DataFrame:
     """Share of tokens by tag; the shares of a run sum to 1."""
     by = overlaps.groupBy("run_id", "tag").agg(F.sum("tokens").alias("tokens"), F.count_distinct("call", "seg").alias("segments"))

@@ -52,17 +52,26 @@ def sequence_edges(events: DataFrame) -> DataFrame:
     return nxt.join(tree, ["run_id", "a", "b"], "left_anti")
 
 
-def depths(events: DataFrame, limit: int = 64) -> DataFrame:
-    """(run_id, id, depth) by joining one level after the other; roots have depth 0."""
-    tree = events.select("run_id", "id", "parent")
-    level = tree.filter("parent is null").select("run_id", "id", F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, limit):
-        level = tree.join(level.select("run_id", F.col("id").alias("parent")), ["run_id", "parent"]).select("run_id", "id", F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionAll(level)
-    return out
+def depths(events: DataFrame) -> DataFrame:
+    """(run_id, id, depth), roots have depth 0: in each round every event jumps to the ancestor of its
+    ancestor, so rounds grow with the logarithm of the depth.  Events without a path to a root
+    (an unknown parent, a cycle) have no row.
+    """
+    spark = events.sparkSession
+    kept = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    roots = events.filter("parent is null").select("run_id", "id", F.lit(0).alias("depth"))
+    open_ = events.filter("parent is not null").select("run_id", "id", F.col("parent").alias("up"), F.lit(1).alias("hops"))
+    done, left = kept(roots), None
+    while True:
+        top = done.select("run_id", F.col("id").alias("up"), "depth")
+        reached = open_.join(top, ["run_id", "up"]).select("run_id", "id", (F.col("hops") + F.col("depth")).alias("depth"))
+        higher = open_.select("run_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("more"))
+        open_ = kept(open_.join(higher, ["run_id", "up"]).select("run_id", "id", F.col("up2").alias("up"), (F.col("hops") + F.col("more")).alias("hops")))
+        done = kept(done.unionAll(reached))
+        n, known = open_.count(), done.count()
+        if not n or (n, known) == left:
+            return done
+        left = (n, known)
 
 
 def max_leaf_width(events: DataFrame) -> DataFrame:

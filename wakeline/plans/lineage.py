@@ -193,6 +193,7 @@ def condensed_depths(edges: list[tuple[str, str]]) -> dict[str, int]:
     low: dict[str, int] = {}
     comp: dict[str, int] = {}
     held: list[str] = []
+    number = -1
     for root in out:
         if root in index:
             continue
@@ -207,7 +208,7 @@ def condensed_depths(edges: list[tuple[str, str]]) -> dict[str, int]:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == index[node]:
-                    number = len(set(comp.values()))
+                    number += 1
                     while True:
                         x = held.pop()
                         comp[x] = number

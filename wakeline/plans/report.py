@@ -22,9 +22,11 @@ def write(df: DataFrame, path: str, kind: str = "parquet", by: list[str] = ["run
     df.write.mode("overwrite").partitionBy(*[c for c in by if c in df.columns]).format(kind).option("header", True).save(path)
 
 
-def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A small result as a Markdown table; an error where it has more than ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no table to read; write() takes them")
     cell = lambda v: "–" if v is None else str(v).replace("|", "\\|")
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 

@@ -1138,7 +1138,7 @@ SELECT run_id, CASE role WHEN 'user' THEN 'document text' WHEN 'assistant' THEN
 SELECT CAST(a.conv_id % 10 AS INTEGER) AS run_id, b.role, b.text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND (b.turn, b.text) <= (a.turn, a.text)) GROUP BY ALL""")
 def content_sections(spark, d):
     prompts = _prompts(spark, d)
-    parts = prompt_fn.prompt_sections(prompts, prompt_fn.choose_grammar(prompts))
+    parts = prompt_fn.prompt_sections(prompts)
     return parts.groupBy("run_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
@@ -1147,7 +1147,7 @@ def content_breakdown(spark, d):
     from .sources.traces import serialize
 
     prompts = _prompts(spark, d).withColumn("prompt", serialize(F.col("messages")))
-    parts = prompt_fn.with_token_ranges(prompts, prompt_fn.prompt_sections(prompts, prompt_fn.ROLE_ONLY))
+    parts = prompt_fn.with_token_ranges(prompts, prompt_fn.prompt_sections(prompts, headers=False))
     whole = prompts.select("run_id", "call", F.lit(0).alias("seg"), F.lit(0).alias("a"), F.size(P.whitespace_tokens(F.col("prompt"))).alias("z"))
     return prompt_fn.content_breakdown(prompt_fn.overlap_by_tag(whole, parts))
 

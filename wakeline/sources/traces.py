@@ -12,6 +12,7 @@ import ast
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +54,19 @@ def read_event_meta(spark: SparkSession, path: str) -> DataFrame:
 TOOL_LINE = r"^\[(\d{2}:\d{2}:\d{2}(?:\.\d+)?)(?:\s*->\s*(\d{2}:\d{2}:\d{2}(?:\.\d+)?))?\]\s*(?:\(([\d.]+)\s*ms\)\s*)?(\S+)\s*\(id=([^)]*)\)\s*input=(.*)$"
 
 
-@F.udf(T.StringType())
-def literal_json(text: str | None) -> str | None:
-    """A Python literal as JSON; anything else as {"raw": text}."""
-    if text is None:
-        return None
-    try:
-        return json.dumps(ast.literal_eval(text), default=str)
-    except (ValueError, SyntaxError, MemoryError, RecursionError):
-        return json.dumps({"raw": text})
+@F.pandas_udf(T.StringType())
+def literal_json(texts: pd.Series) -> pd.Series:
+    """Python literals as JSON; anything else as {"raw": text}; an Arrow batch at a time."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(ast.literal_eval(text), default=str)
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return json.dumps({"raw": text})
+
+    return texts.map(one, na_action="ignore")
 
 
 def day_ms(clock: Column, date: str) -> Column:
