@@ -6,9 +6,10 @@ templates decides what it declares.  Rows without a licence of their own inherit
 the nearest ancestor directory with a licence file, by joins on directory paths.
 
 1. One pass counts the documents of every term, summed before the shuffle.
-2. A second pass finds the units that could reach their threshold: weights are at least 1,
-   so terms that no template holds add at least their number to the squared norm.
-3. Only the terms of these units meet their weights and the templates.
+2. A second pass finds the templates' terms in each line; blocks and whole texts are sums
+   of lines.  Every weight is 1 at least, so other terms add at least their number to the
+   squared norm: units whose cosine cannot reach the threshold go here.
+3. Only the others meet the weights of all their terms, which give their exact norms.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 #: Words left out of all vectors.
-STOP = ["a", "and", "any", "by", "into", "is", "of", "or", "the", "this", "to", "under"]
+STOP = ["a", "an", "and", "any", "are", "as", "at", "be", "but", "by", "either", "for", "from", "if", "in", "into", "is", "it", "its", "may", "not", "of", "on", "one", "or", "other", "see", "shall", "that", "the", "these", "this", "to", "under", "use", "used", "we", "which", "will", "with", "without", "work", "you"]
 #: What separates blocks of lines.
 BLANK_LINES = r"\n[\x20\x09-\x0D]*\n"
 
@@ -100,32 +101,50 @@ def scan(docs: DataFrame, path: Column, header_min: float = 0.8, file_min: float
     weighted = template.join(F.broadcast(df.filter(F.col("term").isin(vocabulary))), "term", "left").withColumn("w", F.col("tf") * idf)
     weighted = cut(weighted.select("tid", "license", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("tid")))).alias("tw"), idf.alias("idf")), "templates")
 
-    # the templates' terms in each unit: its lines, its blocks of lines, and the whole (position -1)
-    known = F.create_map(*(x for r in weighted.select("term", "idf").distinct().collect() for x in (F.lit(r["term"]), F.lit(r["idf"]))))
-    lines, blocks = F.split("text", "\n", -1), F.split("text", BLANK_LINES, -1)
-    texts = F.concat(F.array("text"), lines, F.when(F.size(blocks) < F.size(lines), blocks).otherwise(F.array()))
-    units = base.select("k", "h", F.posexplode(texts).alias("at", "unit")).select("k", "h", (F.col("at") - 1).alias("pos"), terms(F.col("unit")).alias("all"))
-    units = units.withColumn("own", F.filter("all", lambda x: x.isin(vocabulary))).filter(F.size("own") > 0)
-    mass = F.aggregate(F.array_distinct("own"), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter("own", lambda y: y == x)) * known[x], F.lit(2)))
-    least = F.when(F.col("pos") < 0, file_min).otherwise(header_min)
-    could = F.sqrt(mass / (mass + F.size("all") - F.size("own"))) >= least - 1e-6
-    candidates = cut(units.filter(could).select("k", "h", "pos", "all").dropDuplicates(["k", "h", "pos"]), "units")
-
-    tf = candidates.select("k", "h", "pos", F.explode("all").alias("term")).groupBy("k", "h", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # a candidate's terms are few beside all terms: these are cut to them before they meet
-    asked = cut(tf.select("term").distinct(), "asked")
-    weights = df.join(small_side(asked, 24), "term", "left_semi").select("term", idf.alias("idf"))
-    vectors = tf.join(small_side(cut(weights, "weights"), 32), "term").select("k", "h", "pos", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    hits = vectors.join(F.broadcast(weighted.drop("idf")), "term").groupBy("k", "h", "pos", "license", "tid").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    norms = vectors.groupBy("k", "h", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hits = hits.join(norms, ["k", "h", "pos"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
-    best = lambda whole: F.max(F.when((F.col("pos") < 0) == whole, F.struct("score", (-F.col("tid")).alias("t"), "license")))
+    # the templates' terms in each line, block of lines (line -1) and whole text (block -1)
+    split = F.transform(F.split("text", BLANK_LINES, -1), lambda b: F.transform(F.split(b, "\n", -1), lambda x: terms(x)))
+    in_block = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.size(x))
+    blocks = base.select("k", "h", split.alias("blocks")).withColumn("n_doc", F.aggregate("blocks", F.lit(0), lambda n, b: n + in_block(b)))
+    lines = blocks.select("k", "h", "n_doc", F.posexplode("blocks").alias("block", "lines")).select("k", "h", "n_doc", "block", in_block(F.col("lines")).alias("n_block"), F.posexplode("lines").alias("line", "words"))
+    words = lines.select("k", "h", "n_doc", "block", "n_block", "line", F.size("words").alias("n_line"), F.explode("words").alias("term")).filter(F.col("term").isin(vocabulary))
+    # rows of equal id and text say the same, so one of them counts
+    held = words.groupBy("k", "h", "n_doc", "block", "n_block", "line", "n_line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    copies = base.groupBy("k", "h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    held = cut(held.join(small_side(cut(copies, "copies"), 64), ["k", "h"], "left").withColumn("tf", (F.col("tf") / F.coalesce("copies", F.lit(1))).cast("long")).drop("copies"), "held")
+    none = F.lit(-1)
+    unit = F.explode(F.array(
+        F.struct(F.col("block").alias("block"), F.col("line").alias("line"), F.col("n_line").alias("n")),
+        F.struct(F.col("block").alias("block"), none.alias("line"), F.col("n_block").alias("n")),
+        F.struct(none.alias("block"), none.alias("line"), F.col("n_doc").alias("n")),
+    )).alias("u")
+    at = ["k", "h", "block", "line"]
+    units = held.select("k", "h", "term", "tf", unit).groupBy("k", "h", "u.block", "u.line", "u.n", "term").agg(F.sum("tf").alias("tf"))
+    met = units.join(F.broadcast(weighted), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    dots = met.groupBy(*at, "license", "tid").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    # other terms weigh 1 at least
+    weights = weighted.select("term", "idf").distinct()
+    room = units.join(F.broadcast(weights), "term").groupBy(*at, "n").agg((F.sum((F.col("tf") * F.col("idf")) ** 2) + F.col("n") - F.sum("tf")).alias("room"))
+    least = F.when(F.col("block") < 0, file_min).otherwise(header_min)
+    could = cut(dots.join(room.drop("n"), at).filter(F.col("dot") / F.sqrt("room") >= least - 1e-5).select(*at, "license", "tid", "dot"), "could")
+
+    # all terms of the units that could reach the threshold, for their exact norms
+    asked = cut(could.select(*at).distinct(), "asked")
+    whose = small_side(cut(asked.select("k", "h").distinct(), "whose"), 64)
+    again = blocks.join(whose, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("k", "h", F.posexplode("blocks").alias("block", "lines"))
+    again = again.select("k", "h", "block", F.posexplode("lines").alias("line", "words")).select("k", "h", "block", "line", F.explode("words").alias("term"))
+    of_unit = again.select("k", "h", "term", F.explode(F.array(F.struct("block", "line"), F.struct(F.col("block"), none.alias("line")), F.struct(none.alias("block"), none.alias("line")))).alias("u"))
+    tf = of_unit.select("k", "h", "u.block", "u.line", "term").join(small_side(asked, 72), at, "left_semi").groupBy(*at, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(tf, "units")
+    known = df.join(small_side(cut(tf.select("term").distinct(), "known"), 24), "term", "left_semi").select("term", idf.alias("idf"))
+    norms = tf.join(small_side(cut(known, "weights"), 32), "term").groupBy(*at).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    hits = could.join(norms, at).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
+    best = lambda whole: F.max(F.when((F.col("block") < 0) == whole, F.struct("score", (-F.col("tid")).alias("t"), "license")))
     own = hits.groupBy("k", "h").agg(best(True).alias("f"), best(False).alias("l"))
     own = own.select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.coalesce("f.license", "l.license").alias("license"), F.coalesce("f.score", "l.score").alias("score"), F.when(F.col("f").isNotNull(), "file").otherwise("header").alias("how"))
     own = cut(own, "declared")
     rows = base.drop("text").join(small_side(own, 80), (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left")
     rows = cut(rows.select("doc_id", "path", "named", "license", "score", "how", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir")), "own")
-    discard(df, candidates, asked, own)
+    discard(df, held, could, asked, tf, own)
 
     granting = (
         rows.filter("license is not null and dir is not null and (how = 'file' or named)")
