@@ -287,7 +287,7 @@ def _verify(item: np.ndarray, words: np.ndarray, found: list[int]) -> tuple[int,
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_words: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.97, min_words: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document row and leaked item: doc_id, item_id, distance, n_words, start_word, end_word.
 
     Verified matches are exact; the search finds a match at the largest allowed
@@ -329,13 +329,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.95, min_word
     return out
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.97, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents (ids) in which an item leaks; columns stay as they are."""
     leaks = cut(find_leaks(docs, items, recall, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__wl_id")).distinct(), "leaks")
     return docs.join(small_side(leaks, 16), docs[doc_id].eqNullSafe(F.col("__wl_id")), "left_anti")
 
 
-def flag_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def flag_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.97, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``leaked_items``, the sorted ids of the items found in each document's id (or null)."""
     docs = docs.drop("leaked_items")
     leaks = find_leaks(docs, items, recall, doc_id=doc_id, text=text).groupBy(F.col("doc_id").alias("__wl_id")).agg(F.sort_array(F.collect_set("item_id")).alias("leaked_items"))
