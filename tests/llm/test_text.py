@@ -25,7 +25,9 @@ def test_words_first_then_ngrams(spark):
     assert got[1][0] == "en" and got[2][0] == "de" and got[3] == got[4] == got[5] == ("und", 0.0)
     assert all(0 <= s <= 1 for _, s in got.values()) and len(got) == 6
     # backoff: only the word edges are known of this word, and they speak for neither
-    assert abs(float(model._word("яяя")[0] - model._word("яяя")[1])) < 0.2
+    at = model.rows(["яяя"])[0]
+    x, y = model.scores[at]
+    assert abs(float(x - y)) < 0.2
 
 
 def test_no_labels_and_no_rows(spark):

@@ -47,34 +47,47 @@ class Model:
     #: words met so far -> rows of their scores
     seen: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
+    logs: np.ndarray | None = None
+    start: dict[int, int] = field(default_factory=dict)
 
     def rows(self, words: Iterable[str]) -> list[int]:
+        """The rows of the words' scores; those of new words are worked out together."""
         if self.scores is None:
             self.scores = np.zeros((_CACHE, len(self.langs)), np.float32)
+            # one table of all orders, with a row of zeros for words of which nothing is known
+            self.start = dict(zip(self.tables, np.cumsum([0, *(len(logs) for _, logs in self.tables.values())]).tolist(), strict=False))
+            self.logs = np.concatenate([*(logs for _, logs in self.tables.values()), np.zeros((1, len(self.langs)), np.float32)])
         if len(self.seen) > _CACHE // 2:
             self.seen.clear()
-        seen, out = self.seen, []
-        for w in words:
-            i = seen.get(w)
-            if i is None:
-                i = len(seen)
-                if i == len(self.scores):  # one text has more words than the table
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[i] = self._word(w)
+        seen = self.seen
+        words = list(words)
+        new = [w for w in words if w not in seen]
+        if new:
+            first = len(seen)
+            while first + len(new) > len(self.scores):  # one text has more words than the table
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            entries, sizes = [], []
+            for i, w in enumerate(new, first):
+                found = self.entries(w)
+                entries += found
+                sizes.append(len(found))
                 seen[w] = i
-            out.append(i)
-        return out
-
-    def _word(self, w: str) -> np.ndarray:
-        rows, logs = self.tables[0]
-        if w in rows:
-            return logs[rows[w]]
+            n = np.array(sizes)
+            self.scores[first : first + len(new)] = np.add.reduceat(self.logs[entries], np.cumsum(n) - n) / n[:, None]
+        return [seen[w] for w in words]
+
+    def entries(self, w: str) -> list[int]:
+        """The rows of the joined table whose mean is the word's score: its own, or those of its longest known n-grams."""
+        i = self.tables[0][0].get(w)
+        if i is not None:
+            return [self.start[0] + i]
+        padded = f"<{w}>"
         for n in ORDERS:
-            rows, logs = self.tables[n]
-            hits = [i for g in grams(w, n) if (i := rows.get(g)) is not None]
+            known, at = self.tables[n][0], self.start[n]
+            hits = [at + known[g] for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) in known]
             if hits:
-                return logs[hits].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return hits
+        return [len(self.logs) - 1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall((text or "").lower()))
