@@ -930,7 +930,11 @@ def execution_phases(spark, d):
     return folds.phases(folds.greedy_batches(tool_calls(spark, d), 7 * 3600 * 1000.0))
 
 
-@query()
+@query(fs_sql("""
+SELECT run_id, pos, syscall, CASE WHEN syscall IN ('read', 'write') THEN held.p ELSE coalesce(path, held.p) END AS path, held.t AS fd_tool, held.g AS fd_generation FROM (
+SELECT run_id, event_id AS pos, syscall, path, CASE WHEN syscall IN ('read', 'write', 'getdents64') AND last.g IS NOT NULL THEN last END AS held FROM (
+SELECT *, last_value(CASE WHEN syscall = 'openat' THEN {'p': path, 't': tool_call, 'g': opened} END IGNORE NULLS) OVER (PARTITION BY run_id, pid, fd ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM (
+SELECT *, CAST(sum(CASE WHEN syscall = 'openat' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS opened FROM fs)))"""))
 def fd_resolution(spark, d):
     fs = fs_entries(spark, d)
     ev = fs.select("run_id", F.col("ts_ms").alias("ts"), F.col("event_id").alias("pos"), F.lit("syscall").alias("kind"), "pid", "syscall",
