@@ -920,12 +920,27 @@ def dedup_emissions(spark, d):
 # ---- folds --------------------------------------------------------------------------------------------------
 
 
-@query()
+#: Batches by recursion over the calls of a run in order of their starts.
+BATCH_SQL = """
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s, tool_id) AS i FROM tools),
+bt AS (
+  SELECT run_id, i, s AS first, 0 AS batch FROM o WHERE i = 1
+  UNION ALL SELECT o.run_id, o.i, CASE WHEN o.s - bt.first > 25200000 THEN o.s ELSE bt.first END, bt.batch + CASE WHEN o.s - bt.first > 25200000 THEN 1 ELSE 0 END FROM bt JOIN o ON o.run_id = bt.run_id AND o.i = bt.i + 1
+),
+batches AS (SELECT o.* EXCLUDE (i), CAST(batch AS INTEGER) AS batch FROM o JOIN bt ON o.run_id = bt.run_id AND o.i = bt.i)"""
+
+
+@query(sql(FS_SQL, DATA_SQL, TOOLS_SQL, BATCH_SQL, body="SELECT * FROM batches"))
 def tool_batches(spark, d):
     return folds.greedy_batches(tool_calls(spark, d), 7 * 3600 * 1000.0)
 
 
-@query()
+@query(sql(FS_SQL, DATA_SQL, TOOLS_SQL, BATCH_SQL, body="""
+SELECT run_id, phase, n, total_ms, least, mean, most, round(100 * total_ms / sum(total_ms) OVER (PARTITION BY run_id), 6) AS pct FROM (
+SELECT run_id, phase, count(*) AS n, sum(ms) AS total_ms, min(ms) AS least, round(avg(ms), 6) AS mean, max(ms) AS most FROM (
+SELECT run_id, unnest([{'phase': 'tool_execution', 'ms': e - s}, {'phase': 'model_completion', 'ms': s - before}], recursive := true) FROM (
+SELECT *, lag(e) OVER (PARTITION BY run_id ORDER BY batch) AS before FROM (SELECT run_id, batch, min(s) AS s, max(e) AS e FROM batches WHERE tool_name <> 'Task' GROUP BY ALL)))
+WHERE phase = 'tool_execution' OR ms > 0 GROUP BY ALL)"""))
 def execution_phases(spark, d):
     return folds.phases(folds.greedy_batches(tool_calls(spark, d), 7 * 3600 * 1000.0))
 
