@@ -288,3 +288,32 @@ def test_report_edge(spark, tmp_path):
     one = spark.createDataFrame([(1, "x", "r", None, None)], "run_id int, id string, role string, phase string, io_layers array<string>")
     two = spark.createDataFrame([(1, "x", None, "p", ["stdio"])], "run_id int, id string, role string, phase string, io_layers array<string>")
     assert rows(report.code_index(one, one, two)) == [(1, "x", "r", "p", ["stdio"])]
+
+
+def test_overlap_of_two(spark):
+    df = spark.createDataFrame([(0.0, 5.0, 3.0, 9.0), (0.0, 1.0, 1.0, 2.0), (0.0, 1.0, 4.0, 5.0), (0.0, 9.0, 2.0, 3.0), (None, 1.0, 0.0, 1.0)], "a double, b double, c double, d double")
+    assert [r[0] for r in df.select(I.overlap(*map(F.col, "abcd"))).collect()] == [2.0, 0.0, 0.0, 1.0, None]
+
+
+def test_token_residual(spark):
+    ddl = "run_id int, counted long, recorded long"
+    df = spark.createDataFrame([(1, 90, 100), (1, 50, 50), (1, None, 1000), (2, 5, None), (2, 0, 0), (3, None, 7)], ddl)
+    assert rows(concurrency.token_residual(df).na.fill(-1.0, ["residual_pct"])) == [(1, 3, 2, 1, 6.666667), (2, 2, 2, 0, -1.0), (3, 1, 0, 0, -1.0)]
+    assert rows(concurrency.token_residual(spark.createDataFrame([], ddl))) == []
+
+
+def test_usage_by_parent(spark):
+    ddl = "run_id int, parent string, input long, output long, cache_read long"
+    df = spark.createDataFrame([(1, "a", 5, 1, 0), (1, "a", 7, None, 2), (1, None, 1, 1, None)], ddl)
+    assert rows(concurrency.usage_by_parent(df)) == [(1, "(root)", 1, 1, 1, 0), (1, "a", 2, 12, 1, 2)]
+    assert rows(concurrency.usage_by_parent(spark.createDataFrame([], ddl))) == []
+
+
+def test_reuse_ages(spark):
+    calls = spark.createDataFrame(
+        [(1, 0, 0.0, 1000.0, 10, 0), (1, 1, 500.0, 2000.0, 10, 9), (1, 2, 5000.0, 6000.0, 10, 8), (1, 3, 9000.0, 9500.0, 10, 7), (2, 0, 0.0, 1.0, 0, 0)],
+        "run_id int, call int, s double, e double, input long, cache_read long",
+    )
+    # call 1 began before its only candidate ended; call 2 has one that had ended, call 3 two of them
+    cand = spark.createDataFrame([(1, 1, 0, 4), (1, 2, 0, 4), (1, 3, 1, 6), (1, 3, 2, 6)], "run_id int, call int, source int, lcp int")
+    assert rows(prefix.reuse_ages(cand, calls).na.fill(-1.0)) == [(1, 2, 4.0, 4.0), (2, 0, -1.0, -1.0)]

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Time that two intervals share; 0 if they are apart, null if an end is null."""
+    known = s1.isNotNull() & e1.isNotNull() & s2.isNotNull() & e2.isNotNull()
+    return F.when(known, F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2)))
+
+
 def islands(df: DataFrame, keys: list[str], s: str = "s", e: str = "e", gap: Column | float = 0.0, keep_empty: bool = False, strict: bool = False) -> DataFrame:
     """df with ``island``: a new one starts where the gap to everything before exceeds ``gap``.
 

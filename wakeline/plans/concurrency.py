@@ -87,7 +87,7 @@ def pairwise_overlap(events: DataFrame, width_ms: float = 3_600_000.0) -> DataFr
     ev = events.select("run_id", "role", "s", "e")
     merged = I.merged(ev, ["run_id", "role"]).select("run_id", F.col("role").alias("rb"), F.col("s").alias("bs"), F.col("e").alias("be"))
     own = I.merged(ev, ["run_id", "role"]).select("run_id", F.col("role").alias("ra"), F.col("s").alias("as"), F.col("e").alias("ae"))
-    return I.overlap_join(own, merged, ["run_id"], width_ms).filter("ra < rb").groupBy("run_id", "ra", "rb").agg(q6(F.sum(F.least("ae", "be") - F.greatest("as", "bs")) / 1000).alias("overlap_s"))
+    return I.overlap_join(own, merged, ["run_id"], width_ms).filter("ra < rb").groupBy("run_id", "ra", "rb").agg(q6(F.sum(I.overlap(*map(F.col, ("as", "ae", "bs", "be")))) / 1000).alias("overlap_s"))
 
 
 def process_intervals(fs: DataFrame) -> DataFrame:
@@ -107,6 +107,27 @@ def llm_usage(llm: DataFrame) -> DataFrame:
     return llm.rollup("run_id", "role", "phase").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("calls"), F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cache_read").alias("cache_read")).filter("level < 7")
 
 
+def usage_by_parent(calls: DataFrame) -> DataFrame:
+    """Calls and tokens below each parent (``parent``); calls without one form a row of their own."""
+    tokens = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input", "output", "cache_read"))
+    return calls.groupBy("run_id", F.coalesce("parent", F.lit("(root)")).alias("owner")).agg(F.count(F.lit(1)).alias("calls"), *tokens)
+
+
+def token_residual(calls: DataFrame) -> DataFrame:
+    """How far ``counted`` tokens stay behind what the server recorded (``recorded``), per run.
+
+    Calls that were not counted (null) are left out of both sums; without recorded tokens there is
+    no percentage.  A null record counts as 0 and is never exact.
+    """
+    done, recorded = F.col("counted").isNotNull(), F.coalesce("recorded", F.lit(0))
+    sums = calls.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(done).alias("n_tokenized"), F.count_if(done & (recorded > 0) & (F.col("counted") == recorded)).alias("n_exact"),
+        F.sum("counted").alias("counted"), F.sum(F.when(done, recorded)).alias("recorded"),
+    )
+    share = F.when(F.col("recorded") > 0, q6(100 * (1 - F.col("counted") / F.col("recorded"))))
+    return sums.select("run_id", "calls", "n_tokenized", "n_exact", share.alias("residual_pct"))
+
+
 def run_summary(llm: DataFrame, tools: DataFrame) -> DataFrame:
     """Wall, tool, inference and unaccounted seconds of a run, with its token totals."""
     base = concurrency_summary(llm, tools)

@@ -118,11 +118,29 @@ def age_bin(seconds: Column) -> Column:
     return out.otherwise(AGE_BINS[-1][1])
 
 
-def temporal_reuse(cand: DataFrame, calls: DataFrame) -> DataFrame:
-    """Calls and shared tokens by age of the latest candidate that had ended, empty bins as zeros."""
+def source_age(cand: DataFrame, calls: DataFrame) -> DataFrame:
+    """(run_id, call, age, lcp): seconds since the latest candidate ended before the call; calls without one have no row."""
     done = calls.select("run_id", F.col("call").alias("source"), F.col("e").alias("ended"))
     x = cand.join(done, ["run_id", "source"]).join(calls.select("run_id", "call", "s"), ["run_id", "call"]).filter("ended <= s")
-    last = x.groupBy("run_id", "call").agg(F.min((F.col("s") - F.col("ended")) / 1000).alias("age"), F.max("lcp").alias("lcp"))
+    return x.groupBy("run_id", "call").agg(F.min((F.col("s") - F.col("ended")) / 1000).alias("age"), F.max("lcp").alias("lcp"))
+
+
+def reuse_ages(cand: DataFrame, calls: DataFrame, high: float = 0.7) -> DataFrame:
+    """Per run: the oldest source of a call with just one candidate, and the median source age of calls
+    that realised more than ``high`` of their prompt (seconds; null where no call is of that kind)."""
+    n = cand.groupBy("run_id", "call").agg(F.count(F.lit(1)).alias("n"))
+    aged = source_age(cand, calls).join(n, ["run_id", "call"]).select("run_id", "call", "age", "n")
+    x = calls.select("run_id", "call", "input", "cache_read").join(aged, ["run_id", "call"], "left")
+    realised = (F.col("input") > 0) & (F.col("cache_read") / F.col("input") > high)
+    return x.groupBy("run_id").agg(
+        F.count("age").alias("reusable_calls"), q6(F.max(F.when(F.col("n") == 1, F.col("age")))).alias("longest_unique_s"),
+        q6(F.percentile(F.when(realised, F.col("age")), F.lit(0.5))).alias("median_high_reuse_s"),
+    )
+
+
+def temporal_reuse(cand: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls and shared tokens by age of the latest candidate that had ended, empty bins as zeros."""
+    last = source_age(cand, calls)
     found = last.groupBy("run_id", age_bin(F.col("age")).alias("bin")).agg(F.count(F.lit(1)).alias("calls"), F.sum("lcp").alias("tokens"))
     grid = calls.select("run_id").distinct().select("run_id", F.explode(F.array(*(F.lit(b) for _, b in AGE_BINS))).alias("bin"))
     return grid.join(found, ["run_id", "bin"], "left").select("run_id", "bin", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("tokens", F.lit(0)).alias("tokens"))

@@ -724,6 +724,24 @@ def subagent_metrics(spark, d):
     return K.subagent_metrics(K.containment_parents(_events(llm_calls(spark, d)), 60_000.0))
 
 
+@query(sql(LLM_SQL, EVENTS_SQL, body="""
+SELECT l.run_id, coalesce(p.parent, '(root)') AS owner, count(*) AS calls, CAST(sum(l."input") AS BIGINT) AS "input", CAST(sum(l."output") AS BIGINT) AS "output", CAST(sum(l.cache_read) AS BIGINT) AS cache_read
+FROM llm l JOIN par p ON l.run_id = p.run_id AND p.id = 'c' || lpad(CAST(l.call AS VARCHAR), 5, '0') GROUP BY ALL"""))
+def usage_by_parent(spark, d):
+    llm = llm_calls(spark, d)
+    parents = K.containment_parents(_events(llm), 60_000.0).select("run_id", "id", "parent")
+    return K.usage_by_parent(llm.withColumn("id", F.concat(F.lit("c"), F.lpad(F.col("call").cast("string"), 5, "0"))).join(parents, ["run_id", "id"]))
+
+
+@query(llm_sql("""
+SELECT run_id, count(*) AS calls, count(counted) AS n_tokenized, count(*) FILTER (counted IS NOT NULL AND counted = recorded AND recorded > 0) AS n_exact,
+  CASE WHEN sum(recorded) FILTER (counted IS NOT NULL) > 0 THEN round(100 * (1 - sum(counted)::DOUBLE / sum(recorded) FILTER (counted IS NOT NULL)), 6) END AS residual_pct
+FROM (SELECT run_id, CASE WHEN call % 7 <> 3 THEN "input" END AS counted, "input" + turn % 2 * length(response) % 5 AS recorded FROM llm) GROUP BY run_id"""))
+def token_residual(spark, d):
+    counted, recorded = F.when(F.col("call") % 7 != 3, F.col("input")), F.col("input") + F.col("turn") % 2 * F.length("response") % 5
+    return K.token_residual(llm_calls(spark, d).select("run_id", counted.alias("counted"), recorded.alias("recorded")))
+
+
 @query(sql(LLM_SQL, EVENTS_SQL, body="""
 SELECT run_id, a, b FROM (SELECT run_id, id AS a, lead(id) OVER (PARTITION BY run_id, coalesce(parent, '') ORDER BY s, e, id) AS b FROM par) x WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM par p WHERE p.run_id = x.run_id AND p.parent = x.a AND p.id = x.b)"""))
 def sequence_edges(spark, d):
@@ -845,6 +863,18 @@ def temporal_reuse(spark, d):
     return P.temporal_reuse(P.candidates(P.trie(calls)), calls)
 
 
+@query(tok_sql(f"""
+SELECT t.run_id, count(a.age) AS reusable_calls, round(max(a.age) FILTER (a.n = 1), 6) AS longest_unique_s,
+  round(quantile_cont(a.age, 0.5) FILTER (t."input" > 0 AND t.cache_read / t."input" > 0.4::DOUBLE), 6) AS median_high_reuse_s
+FROM tok t LEFT JOIN (
+  SELECT c.run_id, c.call, min((y.s - q.e) / 1000) FILTER (q.e <= y.s) AS age, count(*) AS n
+  FROM ({CAND}) c JOIN tok y ON c.run_id = y.run_id AND c.call = y.call JOIN tok q ON c.run_id = q.run_id AND c.source = q.call GROUP BY ALL
+) a ON t.run_id = a.run_id AND t.call = a.call GROUP BY t.run_id"""))
+def reuse_ages(spark, d):
+    calls = _calls(spark, d)
+    return P.reuse_ages(P.candidates(P.trie(calls)), calls, high=0.4)  # the test table's cached shares end at a half
+
+
 @query(tok_sql(f"""
 SELECT run_id, CASE WHEN rep > 0 THEN 'exact repeat' WHEN n = 0 THEN 'no candidate' WHEN n = 1 THEN 'unique' WHEN n = 2 THEN '2 sources' ELSE '3+ sources' END AS kind,
   CASE WHEN share > 0.7 THEN 'realized >70%' WHEN share > 0 THEN 'realized 1–70%' WHEN lcp > 0 THEN 'realized 0%, logical >0' END AS band, count(*) AS calls FROM (
