@@ -317,3 +317,24 @@ def test_reuse_ages(spark):
     # call 1 began before its only candidate ended; call 2 has one that had ended, call 3 two of them
     cand = spark.createDataFrame([(1, 1, 0, 4), (1, 2, 0, 4), (1, 3, 1, 6), (1, 3, 2, 6)], "run_id int, call int, source int, lcp int")
     assert rows(prefix.reuse_ages(cand, calls).na.fill(-1.0)) == [(1, 2, 4.0, 4.0), (2, 0, -1.0, -1.0)]
+
+
+def test_sweep_arms(spark):
+    ddl = "sweep string, arm string, rep string, source string, bundle string, cache_state string, recorded long, hit_rate double, ttft_ms double, tpot_ms double, total_ms double"
+    of = "/x/results/old/c/results/run_20240203_040506/cell7"
+    df = spark.createDataFrame([
+        ("s", "a", "rep1", of, "b.json", "warm", 9, 0.5, 10.0, 1.0, 1.0), ("s", "a", "rep2", None, None, "cold", 1, None, 20.0, 1.0, 1.0),
+        ("s", "b", "rep1", of, "b.json", None, 5, None, None, 1.0, 1.0), ("t", "a", "rep1", "results/odd", "/p/q.json", "cold", None, 1.0, 1.0, 1.0, 1.0), ("t", "b", "rep1", None, None, "cold", 3, 1.0, 1.0, 1.0, 1.0),
+    ], ddl)
+    got = {(r["sweep"], r["arm"]): r for r in replay.sweep_arms(df).collect()}
+    a = got["s", "a"]
+    assert (a["case"], a["stamp"], a["reps"], a["cache_states"], a["hit_rate"], a["ttft_ms"], a["recorded"], a["position"]) == ("cell7 \u00b7 02-03 04:05", "20240203_040506", 2, "cold,warm", 0.5, 15.0, 9, 2)
+    assert (got["s", "b"]["position"], got["s", "b"]["hit_rate"], got["s", "b"]["cache_states"]) == (1, None, "")
+    assert [(got["t", x]["case"], got["t", x]["stamp"], got["t", x]["position"]) for x in "ab"] == [("q", "", 1), ("unknown source", "", 2)]
+    assert rows(replay.sweep_arms(spark.createDataFrame([], ddl))) == []
+
+
+def test_widest_span(spark):
+    seg = spark.createDataFrame([(1, 1, 0, 3, 20), (1, 1, 1, 20, 20)], "run_id int, call int, seg int, a int, z int")
+    parts = spark.createDataFrame([(1, 1, "x", "p", 0, 6), (1, 1, "y", "q", 6, 9), (1, 1, "x", "r", 9, 12), (1, 1, "y", "s", 12, 40)], "run_id int, call int, tag string, name string, t0 int, t1 int")
+    assert rows(prompts.widest_span(seg, parts)) == [(1, 1, 0, "x", 3, 6, "p"), (1, 1, 0, "y", 12, 20, "s")]

@@ -101,6 +101,15 @@ def overlap_by_tag(segments: DataFrame, parts: DataFrame) -> DataFrame:
     return x.groupBy("run_id", "call", "seg", "tag").agg(F.sum(n).cast("long").alias("tokens"))
 
 
+def widest_span(segments: DataFrame, parts: DataFrame) -> DataFrame:
+    """(run_id, call, seg, tag, lo, hi, name): the longest section of each tag inside each segment, cut
+    to it; among equals the first by start."""
+    x = segments.join(parts.select("run_id", "call", "tag", "name", "t0", "t1"), ["run_id", "call"]).filter("a < t1 and t0 < z")
+    x = x.withColumns({"lo": F.greatest("a", "t0"), "hi": F.least("z", "t1")}).filter("lo < hi")
+    best = F.min(F.struct((F.col("lo") - F.col("hi")).alias("n"), "lo", "hi", "name"))
+    return x.groupBy("run_id", "call", "seg", "tag").agg(best.alias("w")).select("run_id", "call", "seg", "tag", "w.lo", "w.hi", "w.name")
+
+
 def widest_tag(overlaps: DataFrame) -> DataFrame:
     """(run_id, call, seg, tag, tokens): the tag that holds most of each segment; among equals the first by name."""
     widest = F.min(F.struct((-F.col("tokens")).alias("n"), "tag"))

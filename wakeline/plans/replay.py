@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import intervals as I
 from .metrics import q6
 
+#: Names of runs (workflow, anything, stamp).
+RUN_STAMP = r"^[A-Za-z0-9]+_.*?(\d{8}_\d{6})$"
 CONFIG_ORDER = ["block_size", "kv_cache_dtype", "enable_prefix_caching"]
 
 
@@ -23,6 +25,35 @@ def arm_rollup(reps: DataFrame) -> DataFrame:
     )
 
 
+def source_case(source: Column, bundle: Column) -> tuple[Column, Column]:
+    """(case, stamp) of the cell that a bundle was made of: the two folders below the path's last
+    ``results`` name run and cell.  Without them the bundle's file name is the case, the stamp is empty."""
+    below = r"^(?:.*/)?results/([^/]+)/([^/]+)"
+    run, cell = (F.coalesce(F.regexp_extract(source, below, i), F.lit("")) for i in (1, 2))
+    stamp = F.regexp_extract(run, RUN_STAMP, 1)
+    at = F.when(stamp == "", "").otherwise(F.concat_ws(" ", F.concat_ws("-", F.substr(stamp, F.lit(5), F.lit(2)), F.substr(stamp, F.lit(7), F.lit(2))), F.concat_ws(":", F.substr(stamp, F.lit(10), F.lit(2)), F.substr(stamp, F.lit(12), F.lit(2)))))
+    stem = F.regexp_replace(F.regexp_extract(F.coalesce(bundle, F.lit("")), r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1")
+    return F.when(cell == "", F.when(stem == "", "unknown source").otherwise(stem)).otherwise(F.concat(cell, F.lit(" \u00b7 "), at)), stamp
+
+
+def sweep_arms(reps: DataFrame) -> DataFrame:
+    """One row per arm of each sweep, from its repetitions (sweep, arm, rep, source, bundle, cache_state,
+    recorded, hit_rate, ttft_ms, tpot_ms, total_ms): source case, cache states and medians.
+
+    Newest case stamp first, then ``position`` (by time of recording): the order of the result index.
+    Attributes are those of the first repetition as text; nulls are left out of medians and states.
+    """
+    med = lambda c: q6(F.percentile(c, F.lit(0.5))).alias(c)
+    first = lambda c: F.min_by(c, "rep").alias(c)
+    arms = reps.groupBy("sweep", "arm").agg(
+        F.count(F.lit(1)).alias("reps"), first("source"), first("bundle"), F.coalesce(first("recorded"), F.lit(0)).cast("long").alias("recorded"),
+        F.array_join(F.sort_array(F.collect_set("cache_state")), ",").alias("cache_states"), *map(med, ("hit_rate", "ttft_ms", "tpot_ms", "total_ms")),
+    )
+    case, stamp = source_case(F.col("source"), F.col("bundle"))
+    order = Window.partitionBy("stamp").orderBy("recorded", "sweep", "arm")
+    return arms.withColumns({"case": case, "stamp": stamp}).drop("source", "bundle").withColumn("position", F.row_number().over(order))
+
+
 def comparability(reps: DataFrame, fields: list[str]) -> DataFrame:
     """Fields that take more than one value over all arms."""
     long = reps.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("x.*")

@@ -1016,6 +1016,23 @@ def arm_rollup(spark, d):
     return R.arm_rollup(_reps(spark, d))
 
 
+@query(sql(REPS_SQL, """
+sweeps AS (SELECT *, 'sweep' || nation % 3 AS sweep, nation * 10 + length(rep) AS recorded, 'state' || length(rep) AS cache_state,
+  CASE WHEN nation % 5 > 0 THEN '/a/results/run_2024010' || (1 + nation % 4) || '_1230' || (10 + nation) || '/cell' || nation END AS src FROM reps)""", body=f"""
+SELECT *, row_number() OVER (PARTITION BY stamp ORDER BY recorded, sweep, arm)::INTEGER AS position FROM (
+SELECT sweep, arm, count(*) AS reps, arg_min(recorded, rep) AS recorded, string_agg(DISTINCT cache_state, ',' ORDER BY cache_state) AS cache_states, {', '.join(f"{Q(c, 0.5)} AS {c}" for c in ('hit_rate', 'ttft_ms', 'tpot_ms', 'total_ms'))},
+  CASE WHEN nation % 5 = 0 THEN 'b' || nation ELSE 'cell' || nation || ' \u00b7 01-0' || (1 + nation % 4) || ' 12:30' END AS "case", CASE WHEN nation % 5 = 0 THEN '' ELSE '2024010' || (1 + nation % 4) || '_1230' || (10 + nation) END AS stamp
+FROM sweeps GROUP BY sweep, arm, nation)"""))
+def sweep_arms(spark, d):
+    n = F.col("nation").cast("string")
+    source = F.concat(F.lit("/a/results/run_2024010"), (F.col("nation") % 4 + 1).cast("string"), F.lit("_1230"), (F.col("nation") + 10).cast("string"), F.lit("/cell"), n)
+    reps = _reps(spark, d).withColumns({
+        "sweep": F.concat(F.lit("sweep"), (F.col("nation") % 3).cast("string")), "recorded": F.col("nation") * 10 + F.length("rep"), "cache_state": F.concat(F.lit("state"), F.length("rep").cast("string")),
+        "source": F.when(F.col("nation") % 5 > 0, source), "bundle": F.concat(F.lit("/r/b"), n, F.lit(".json")),
+    })
+    return R.sweep_arms(reps)
+
+
 @query(sql(REPS_SQL, body="SELECT 'config' AS field, count(DISTINCT config) AS n FROM reps HAVING count(DISTINCT config) > 1 UNION ALL SELECT 'rep', count(DISTINCT rep) FROM reps HAVING count(DISTINCT rep) > 1"))
 def comparability(spark, d):
     return R.comparability(_reps(spark, d), ["config", "rep"])
