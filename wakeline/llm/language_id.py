@@ -9,7 +9,6 @@ rows and keeps every word and n-gram of it, so the sample bounds what is broadca
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -23,9 +22,8 @@ from pyspark.sql import functions as F
 
 from .base import cut, discard, widened
 
-#: Letters: word characters but digits, numerals of other kinds (such as fractions) and underscores.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: ASCII other than letters becomes blanks; of what lies beyond ASCII, ``isalpha`` decides.
+_BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 _CACHE = 200_000
@@ -33,6 +31,16 @@ _CACHE = 200_000
 FLUSH_WORDS = 100_000
 
 
+def word_counts(text: str) -> Counter:
+    """How often each word occurs: maximal runs of letters (``str.isalpha``) of the lower-cased text."""
+    counts = Counter(text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).decode("utf-8", "surrogatepass").split())
+    for token in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(token)
+        for w in "".join(c if c.isalpha() else " " for c in token).split():
+            counts[w] += n
+    return counts
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"<{word}>"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -90,7 +98,7 @@ class Model:
         return [len(self.logs) - 1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_WORD.findall((text or "").lower()))
+        counts = word_counts(text or "")
         if not counts or not self.langs:
             return UNDETERMINED, 0.0
         rows = self.rows(counts)
@@ -141,7 +149,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: s
         for b in batches:
             for code, t in zip(b.column(0), b.column(1), strict=True):
                 code = code.as_py()
-                by_lang.setdefault(code, Counter()).update(_WORD.findall(t.as_py().lower()))
+                by_lang.setdefault(code, Counter()).update(word_counts(t.as_py()))
                 docs[code] += 1
             if sum(map(len, by_lang.values())) > FLUSH_WORDS:
                 yield from send(by_lang, docs)
