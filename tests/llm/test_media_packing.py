@@ -134,10 +134,13 @@ def test_one_long_document_moves_no_other_boundary(spark, monkeypatch):
 def test_batches(spark, monkeypatch, most):
     monkeypatch.setattr(packing, "MAX_LENGTHS", most)
     monkeypatch.setattr(packing, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(packing, "CROWDED", 2)
     rng = random.Random(most)
     rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))) for i in range(300)]
     rows += [(1, rows[1][1]), (None, "a b"), (400, None), (401, ""), (402, "word " * 3000)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit(1)), buckets=4, token_budget=200).collect()
+    rows += [(None, None)] * 150 + [(7, "five words of one text")] * 150  # of each, a block of its own is divided
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit(1)).repartition(6), buckets=4, token_budget=200).collect()
+    assert len(got) == len(rows)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] is not None) == sorted((d, len((t or "").split())) for d, t in rows if d is not None)
     assert len({r["bucket_len"] for r in got}) <= 4 and all(r["padding"] == r["bucket_len"] - r["n_tokens"] >= 0 for r in got)
     batches = {}

@@ -3,7 +3,8 @@
 The global histogram of lengths decides the bucket boundaries: dynamic programming
 finds those with the least padding.  Inside each bucket, rows get consecutive ranks
 and fill batches whose padded size stays within a token budget.  Ranks come from
-counts per (bucket, block) and positions inside blocks, so no bucket meets in one task.
+counts per (bucket, block) and positions inside blocks, so no bucket meets in one task;
+a block crowded by copies of one row is divided by the partitions that the copies came from.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .base import cut, small_side
 MAX_LENGTHS = 6000
 #: Rows of one block of ranks.
 BLOCK_ROWS = 50_000
+#: Times ``BLOCK_ROWS`` from which a block, one that holds a much repeated row, is divided.
+CROWDED = 8
 
 
 def word_count(text: str = "text") -> Column:
@@ -97,7 +100,7 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, length:
     bucket may be short.  Null and empty texts have 0 tokens; null ids keep their
     rows; repeated rows get slots of their own.  An empty table gives no rows.
     """
-    lengths = cut(docs.select(F.col(doc_id).alias("doc_id"), (length if length is not None else word_count(text)).alias("n_tokens"), F.xxhash64(text).alias("_h")), "lengths")
+    lengths = cut(docs.select(F.col(doc_id).alias("doc_id"), (length if length is not None else word_count(text)).alias("n_tokens"), F.xxhash64(text).alias("_h"), F.spark_partition_id().alias("_p")), "lengths")
     histogram = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
     sizes, counts = (histogram.column(c).to_numpy() for c in ("n_tokens", "n"))
     bounds = boundaries(sizes, counts, buckets)
@@ -108,14 +111,17 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, length:
         "bucket_len": F.element_at(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b >= F.col("n_tokens")), 1),
         "_block": F.pmod(F.xxhash64("doc_id", "_h"), F.lit(blocks)).cast("int"),
     })
-    in_block = placed.groupBy("bucket_len", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    per_bucket = Window.partitionBy("bucket_len").orderBy("_block")
-    offsets = in_block.select("bucket_len", "_block", (F.sum("_n").over(per_bucket) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("bucket_len")).alias("_all"))
-    inside = Window.partitionBy("bucket_len", "_block").orderBy("doc_id", "_h")
+    block, part = ["bucket_len", "_block"], ["bucket_len", "_block", "_sub"]
+    crowded = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWDED * BLOCK_ROWS).select(*block, F.lit(True).alias("_many"))
+    placed = placed.join(small_side(crowded, 16), block, "left").withColumn("_sub", F.when(F.col("_many"), F.col("_p")).otherwise(-1))
+    in_block = placed.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    per_bucket = Window.partitionBy("bucket_len").orderBy("_block", "_sub")
+    offsets = in_block.select(*part, (F.sum("_n").over(per_bucket) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("bucket_len")).alias("_all"))
+    inside = Window.partitionBy(*part).orderBy("doc_id", "_h")
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     ranked = (
         placed.withColumn("_at", F.row_number().over(inside).cast("long"))
-        .join(small_side(offsets, 40), ["bucket_len", "_block"])
+        .join(small_side(offsets, 44), part)
         .withColumns({"_rank": F.col("_before") + F.col("_at") - 1, "_room": room})
     )
     batch = F.floor(F.col("_rank") / F.col("_room")).cast("long")
