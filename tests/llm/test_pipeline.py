@@ -1,6 +1,12 @@
 """The corpus pipeline stage by stage."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline
+from pyspark.sql import functions as F
+from test_dedup import components_by_hand
+from test_text import leaks_by_hand
 from wakeline.llm import decontaminate, jaccard_join, line_dedup
 from wakeline.llm.base import cut, table
 
@@ -35,3 +41,53 @@ def test_empty_documents(spark, data, tmp_path):
     table(spark, data, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, data, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def pipeline_by_hand(docs, items):
+    """(doc_id, text) of the rows that the four filtering stages keep."""
+    docs = [(d, t) for d, t in docs if any(c.isalpha() for c in t or "")]
+
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    holders = {}
+    for d, t in docs:
+        for x in t.split("\n"):
+            holders.setdefault(key(x), set()).add(d)
+    last = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= 5}
+    cut_docs = [(d, "\n".join(x for x in t.split("\n") if last.get(key(x), d) == d)) for d, t in docs]
+    docs = [new for old, new in zip(docs, cut_docs) if new == old or new[1].strip()]
+
+    kept, seen = [], set()
+    group = {d: c for d, _, c in components_by_hand(docs, 5, 75)}
+    for d, t in docs:
+        if d is None or group[d] == d and d not in seen:
+            kept.append((d, t))
+            seen.add(d)
+
+    leaking = {d for d, _, _ in leaks_by_hand(kept, items)}
+    return [(d, t) for d, t in kept if d not in leaking]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "rho", "tau", "zeta", "eta", "phi", "chi", "psi", "omega"], k=n))
+    items = [(i, words(20)) for i in range(6)] + [(9, None), (10, "")]
+    line = "a line of more than forty characters that many documents share"
+    rows = [(i, words(rng.randint(1, 90))) for i in range(60)]
+    rows += [(100 + i, f"{words(12)}\n  {line.upper()} \n{words(9)}") for i in range(8)]
+    rows += [(120 + i, line) for i in range(3)]  # nothing is left of these
+    for i in range(30):  # near copies: some words of a text replaced
+        w = rows[rng.randrange(40)][1].split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "other"
+        rows.append((200 + i, " ".join(w)))
+    rows += [(300 + i, f"{words(15)} {items[i % 6][1]} {words(15)}") for i in range(9)]
+    rows += [(400, None), (401, ""), (402, "12 ... 7"), (403, "½ ²"), (None, words(30)), (None, words(31)), rows[5], rows[5], (404, "long " * 30_000)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(d, t, rng.choice(["en", "de", None]), "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in ("lang_pred", "score", "n_dropped", "kept_text", "__wl_id", "n", "slot", "item_id")}).repartition(5)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = pipeline_by_hand(rows, items)
+    assert 60 < len(left) < len(rows) - 30
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((d, len(t.split())) for d, t in left)

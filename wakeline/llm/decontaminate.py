@@ -332,11 +332,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.97, min_word
 def drop_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.97, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents (ids) in which an item leaks; columns stay as they are."""
     leaks = cut(find_leaks(docs, items, recall, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__wl_id")).distinct(), "leaks")
-    return docs.join(small_side(leaks, 16), docs[doc_id].eqNullSafe(F.col("__wl_id")), "left_anti")
+    return docs.join(small_side(leaks, 16), docs[doc_id].eqNullSafe(leaks["__wl_id"]), "left_anti")
 
 
 def flag_leaking(docs: DataFrame, items: DataFrame, recall: float = 0.97, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``leaked_items``, the sorted ids of the items found in each document's id (or null)."""
     docs = docs.drop("leaked_items")
     leaks = find_leaks(docs, items, recall, doc_id=doc_id, text=text).groupBy(F.col("doc_id").alias("__wl_id")).agg(F.sort_array(F.collect_set("item_id")).alias("leaked_items"))
-    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("__wl_id")), "left").drop("__wl_id")
+    return docs.join(leaks, docs[doc_id].eqNullSafe(leaks["__wl_id"]), "left").drop(leaks["__wl_id"])

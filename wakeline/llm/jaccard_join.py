@@ -434,12 +434,12 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id:
     comp = jaccard_components(docs, k, percent, doc_id, text).select(F.col("doc_id").alias("__wl_id"), F.col("n_shingles").alias("__wl_n"), F.col("component_id").alias("__wl_c"))
     comp = cut(comp, "groups")
     go = comp.filter((F.col("__wl_n") > 0) & (F.col("__wl_id") != F.col("__wl_c"))).select("__wl_id").distinct()
-    stay = docs.join(small_side(go, 16), docs[doc_id] == F.col("__wl_id"), "left_anti")
+    stay = docs.join(small_side(go, 16), docs[doc_id] == go["__wl_id"], "left_anti")
     again = comp.filter("__wl_n > 0 and __wl_id is not null").groupBy("__wl_id").count().filter("count > 1").select("__wl_id")
     if again.isEmpty():
         return stay
     again = small_side(again, 16)
     blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    several = stay.filter(~blank).join(again, stay[doc_id] == F.col("__wl_id"), "left_semi").dropDuplicates([doc_id])
-    single = stay.filter(~blank).join(again, stay[doc_id] == F.col("__wl_id"), "left_anti")
+    several = stay.filter(~blank).join(again, stay[doc_id] == again["__wl_id"], "left_semi").dropDuplicates([doc_id])
+    single = stay.filter(~blank).join(again, stay[doc_id] == again["__wl_id"], "left_anti")
     return single.unionByName(several).unionByName(stay.filter(blank))

@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: s
     """
     labelled = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = labelled.select(F.col(order_by).alias("__wl_id")).filter("__wl_id is not null").distinct().orderBy(F.xxhash64("__wl_id"), "__wl_id").limit(sample_rows)
-    rows = labelled.join(F.broadcast(ids), labelled[order_by] == F.col("__wl_id"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = labelled.join(F.broadcast(ids), labelled[order_by] == ids["__wl_id"], "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def send(by_lang: dict[str, Counter], docs: Counter) -> Iterator[pa.RecordBatch]:
         """Counts of words and n-grams by language; one order at a time, in pieces."""
