@@ -56,7 +56,7 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-#: Language ID, the LSH search and the dynamic programme have no SQL form; tests compare with brute force.
+#: Language ID, the LSH search and the dynamic programme have no SQL form; a test compares run() with brute force.
 ORACLE_SQL = None
 
 
