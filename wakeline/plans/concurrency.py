@@ -23,13 +23,13 @@ def concurrency_summary(llm: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def self_time(tools: DataFrame, llm: DataFrame, width_ms: float = 3_600_000.0) -> DataFrame:
-    """Each tool call's time without the inference inside it."""
+    """Each tool call's time without the inference inside it (seconds, not rounded); 0 where inference fills it."""
     own = tools.select("run_id", "tool_id", "s", "e")
     calls = llm.select("run_id", F.col("s").alias("bs"), F.col("e").alias("be")).filter("be > bs")
     inside = I.overlap_join(own.select("run_id", "tool_id", F.col("s").alias("as"), F.col("e").alias("ae")), calls, ["run_id"], width_ms)
-    holes = inside.select("run_id", "tool_id", F.col("bs").alias("s"), F.col("be").alias("e"))
-    rest = I.subtract(own, holes, ["run_id", "tool_id"])
-    return rest.groupBy("run_id", "tool_id").agg(q6(F.sum(F.col("e") - F.col("s")) / 1000).alias("self_s"))
+    holes = inside.select("run_id", "tool_id", F.greatest("as", "bs").alias("s"), F.least("ae", "be").alias("e"))
+    rest = own.join(I.union_length(holes, ["run_id", "tool_id"]), ["run_id", "tool_id"], "left")
+    return rest.select("run_id", "tool_id", ((F.col("e") - F.col("s") - F.coalesce("length", F.lit(0.0))) / 1000).alias("self_s"))
 
 
 def containment_parents(events: DataFrame, width_ms: float = 3_600_000.0) -> DataFrame:
