@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from test_dedup import components_by_hand
 from test_text import leaks_by_hand
-from wakeline.llm import decontaminate, jaccard_join, line_dedup
+from wakeline.llm import base, decontaminate, jaccard_join, language_id, line_dedup
 from wakeline.llm.base import cut, table
 
 
@@ -91,3 +93,31 @@ def test_run_equals_brute_force(spark, tmp_path):
     left = pipeline_by_hand(rows, items)
     assert 60 < len(left) < len(rows) - 30
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((d, len(t.split())) for d, t in left)
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    class Watch:
+        """In place of a model: what Arrow holds while a text is judged."""
+
+        langs = ["x"]
+
+        def predict(self, text):
+            return "x", float(pa.total_allocated_bytes())
+
+    class Sent:
+        def __reduce__(self):
+            return cloudpickle.loads, (cloudpickle.dumps(Watch()),)
+
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), 4000).alias("text"))
+    got = language_id.identify(docs, Sent()).agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("size"), F.max("score").alias("most")).first()
+    assert (got["n"], got["size"]) == (3000, 72_000_000)
+    assert got["most"] < 24 << 20  # all rows at once are 72 MB
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(base, "give_back", lambda: calls.append(1))
+    t = pa.table({"a": [1]})
+    assert base.lean_groups(lambda x: x)(t) is t and calls == [1]
+    monkeypatch.undo()
+    base.give_back()

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A join side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch from which it is sent to Python, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +60,41 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns to the system what the allocators of Arrow and of the C library hold without use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not in every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in memory that follows neither the length of the texts nor the tasks before.
+
+    10,000 rows, Spark's own limit, are tens of MB of texts, several times in each task: batches of
+    the session end at ``BATCH_BYTES`` too.  A Python worker outlives its task, so it gives back
+    what it has freed.  The rows are the same."""
+    spark = df.sparkSession
+    if _BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def lean_groups(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` for ``applyInArrow``, after which the worker gives back what it has freed."""
+
+    def lean(t: pa.Table) -> pa.Table:
+        out = run(t)
+        give_back()
+        return out
+
+    return lean
+
+
 def small_side(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hints a broadcast if the counted rows fit ``limit``; otherwise builds a shuffled hash side."""
     return F.broadcast(df) if df.count() * width <= limit else df.hint("shuffle_hash")

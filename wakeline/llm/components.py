@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, map_batches
 
 #: Edges that one task takes at once (16 bytes each, and about ten times that while it works).
 TASK_EDGES = 2_000_000
@@ -55,7 +55,7 @@ def _forests(edges: DataFrame, all_nodes: bool) -> DataFrame:
         keep = slice(None) if all_nodes else nodes != roots
         yield pa.record_batch([pa.array(nodes[keep]), pa.array(roots[keep])], names=["a", "b"])
 
-    return edges.mapInArrow(run, "a long, b long")
+    return map_batches(edges, run, "a long, b long")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

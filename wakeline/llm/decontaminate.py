@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, small_side
+from .base import cut, map_batches, small_side
 from .tokens import mix64, slices, word_hashes
 
 _U = np.uint64
@@ -324,7 +324,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, recall: float = 0.97, min_word
                 row, o, d, a, z = zip(*found, strict=True)
                 yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array([ix.ids[i] for i in o], item_type), pa.array(d, pa.int32()), pa.array([len(ix.items[i]) for i in o], pa.int32()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["doc_id", "item_id", "distance", "n_words", "start_word", "end_word"])
 
-        part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl)
+        part = map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, ddl)
         out = part if blocks == 1 else out.union(part)
     return out
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import BROADCAST_BYTES, cut, discard, small_side
+from .base import BROADCAST_BYTES, cut, discard, lean_groups, map_batches, small_side
 from .components import connected
 from .tokens import mix64, shingle_hashes, slices, word_hashes
 
@@ -102,7 +102,7 @@ def _profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.record_batch([b.column(0).slice(row, len(at) - 1), pa.array(np.diff(at)), pa.array(half[at[1:]] - half[at[:-1]]), pa.array(_set_ids(s, at))], names=["doc_id", "n", "indexed", "cid"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, indexed long, cid long")
+    return map_batches(docs, run, f"doc_id {kind}, n long, indexed long, cid long")
 
 
 _POSTINGS = "frag int, n long, toks binary, rows binary, cids binary, needs binary"
@@ -151,7 +151,7 @@ def _postings(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
         if docs_held:
             yield send(*held)
 
-    return docs.select("text").mapInArrow(run, _POSTINGS)
+    return map_batches(docs.select("text"), run, _POSTINGS)
 
 
 def _count_shared(t: pa.Table) -> pa.Table:
@@ -210,7 +210,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 toks = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))
                 yield pa.record_batch([pa.array(_set_ids(s, at)), pa.array(np.diff(at)), toks], names=["cid", "n", "toks"])
 
-    return docs.select("text").mapInArrow(run, "cid long, n long, toks array<long>")
+    return map_batches(docs.select("text"), run, "cid long, n long, toks array<long>")
 
 
 def _pieces(sets: DataFrame) -> DataFrame:
@@ -347,8 +347,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame,
     total = profile.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // FRAGMENT))
     postings = _postings(docs, k, percent, parts).withColumn("buckets", F.lit(parts))
-    shared = postings.groupBy("frag").applyInArrow(_count_shared, "bucket int, cids binary, shared binary, needs binary")
-    alive = shared.groupBy("bucket").applyInArrow(_alive, "cid long")
+    shared = postings.groupBy("frag").applyInArrow(lean_groups(_count_shared), "bucket int, cids binary, shared binary, needs binary")
+    alive = shared.groupBy("bucket").applyInArrow(lean_groups(_alive), "cid long")
     sizes = profile.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     alive = cut(sizes.join(alive, "cid"), "alive")
     own = _sets(_by_id(docs, alive), k)
@@ -403,7 +403,7 @@ def _open_pairs(known: DataFrame, sizes: DataFrame, pieces: DataFrame, percent:
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = state.join(small_side(size, 20), "cluster").select("cid", "comp", "blocks", part.alias("part"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("cid", "comp", "blocks", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    close = pieces.join(dealt, "cid").groupBy("blocks", "part", "i", "j", "frag").applyInArrow(_close_pairs(percent, full), "a long, b long")
+    close = pieces.join(dealt, "cid").groupBy("blocks", "part", "i", "j", "frag").applyInArrow(lean_groups(_close_pairs(percent, full)), "a long, b long")
     return close.distinct()
 
 

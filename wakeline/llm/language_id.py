@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, discard, widened
+from .base import cut, discard, map_batches, widened
 
 #: ASCII other than letters becomes blanks; of what lies beyond ASCII, ``isalpha`` decides.
 _BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -156,7 +156,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: s
                 by_lang, docs = {}, Counter()
         yield from send(by_lang, docs)
 
-    counts = rows.mapInArrow(count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+    counts = map_batches(rows, count, "n int, gram string, lang string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     table = cut(counts, "grams")
     docs = {r["lang"]: r["c"] for r in table.filter("n = -1").collect()}
     langs = sorted(docs)
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [m.predict(t.as_py()) for t in b.column(at)]
             yield pa.record_batch([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(judge, widened(docs, "lang_pred string, score double"))
+    return map_batches(docs, judge, widened(docs, "lang_pred string, score double"))
 
 
 def accuracy(predicted: DataFrame) -> float:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, widened
+from .base import cut, map_batches, widened
 
 #: What is stripped at both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -46,7 +46,7 @@ def line_keys(texts: DataFrame, min_chars: int) -> DataFrame:
             at = pa.array(row, pa.int32())
             yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(keys, pa.binary())], names=["__wl_d", "__wl_h", "__wl_pos", "__wl_key"])
 
-    return texts.mapInArrow(run, widened(texts.select("__wl_d", "__wl_h"), "__wl_pos int, __wl_key binary"))
+    return map_batches(texts, run, widened(texts.select("__wl_d", "__wl_h"), "__wl_pos int, __wl_key binary"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
