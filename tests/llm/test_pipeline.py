@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage."""
 
 import random
+import sys
 from collections import Counter
 
 import corpus_pipeline
@@ -97,12 +98,12 @@ def test_run_equals_brute_force(spark, tmp_path):
 
 def test_batches_of_long_texts_are_bounded(spark):
     class Watch:
-        """In place of a model: what Arrow holds while a text is judged."""
+        """In place of a model: the bytes of the batch whose texts are judged."""
 
         langs = ["x"]
 
         def predict(self, text):
-            return "x", float(pa.total_allocated_bytes())
+            return "x", float(sys._getframe(1).f_locals["b"].nbytes)
 
     class Sent:
         def __reduce__(self):
@@ -111,7 +112,7 @@ def test_batches_of_long_texts_are_bounded(spark):
     docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), 4000).alias("text"))
     got = language_id.identify(docs, Sent()).agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("size"), F.max("score").alias("most")).first()
     assert (got["n"], got["size"]) == (3000, 72_000_000)
-    assert got["most"] < 24 << 20  # all rows at once are 72 MB
+    assert got["most"] < 5 << 20  # all rows at once are 72 MB
 
 
 def test_workers_give_back_what_they_freed(monkeypatch):
